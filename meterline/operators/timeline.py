@@ -15,7 +15,7 @@ position and belongs to a strip of ``strip_rows`` consecutive positions:
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -63,14 +63,20 @@ class Layout:
 
     order: tuple[str, ...]
     strip_rows: int | None = None
+    stacked: bool = False  # rows see their neighbours across meters
 
     @property
     def striped(self) -> bool:
         return self.strip_rows is not None
 
+    @property
+    def group(self) -> list[str]:
+        """Rows of different groups never see each other."""
+        return [] if self.stacked else [METER]
+
     @property
     def keys(self) -> list[str]:
-        return [METER, STRIP] if self.striped else [METER]
+        return [*self.group, STRIP] if self.striped else self.group
 
     @property
     def window(self) -> WindowSpec:
@@ -117,23 +123,25 @@ class Layout:
         if not self.striped:
             return df.withColumns(found)
         df = pin(df)
-        edges = df.groupBy(METER, STRIP).agg(
+        edges = df.groupBy(*self.keys).agg(
             *[
                 F.max(F.when(c.isNotNull(), F.struct(F.col(POS), c.alias("v")))).alias(n)
                 for n, c in lasts.items()
             ],
             *[F.sum(c).alias(n) for n, c in sums.items()],
         )
+        # One row per strip, so a stacked frame of N rows scans N / strip_rows of them here.
         earlier = (
-            Window.partitionBy(METER).orderBy(STRIP).rowsBetween(Window.unboundedPreceding, -1)
+            Window.partitionBy(*(self.group or [F.lit(0)]))
+            .orderBy(STRIP)
+            .rowsBetween(Window.unboundedPreceding, -1)
         )
         carried = edges.select(
-            METER,
-            STRIP,
+            *self.keys,
             *[F.last(n, ignorenulls=True).over(earlier)["v"].alias(f"_c_{n}") for n in lasts],
             *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums],
         )
-        df = df.withColumns(found).join(carried, [METER, STRIP], "left")
+        df = df.withColumns(found).join(carried, self.keys, "left")
         df = df.withColumns(
             {n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in lasts}
             | {n: F.col(n) + F.col(f"_c_{n}") for n in sums}
@@ -146,18 +154,24 @@ class Layout:
         event: str,
         smallest: dict[str, Column] | None = None,
         largest: dict[str, Column] | None = None,
+        within_meter: bool = False,
     ) -> DataFrame:
-        """Attach the smallest/largest value within the row's (meter, event); null without event."""
+        """Attach the smallest/largest value within the row's event; null outside events.
+
+        Events never leave their group; ``within_meter`` keeps them apart by meter in a
+        stacked frame too.
+        """
         smallest, largest = smallest or {}, largest or {}
         inside = F.col(event).isNotNull()
+        by = [METER, event] if within_meter else [*self.group, event]
         if not self.striped:
-            whole = Window.partitionBy(METER, event)
+            whole = Window.partitionBy(*by)
             return df.withColumns(
                 {n: F.when(inside, F.min(c).over(whole)) for n, c in smallest.items()}
                 | {n: F.when(inside, F.max(c).over(whole)) for n, c in largest.items()}
             )
         df = pin(df)
-        keys = [METER, STRIP, event]
+        keys = [STRIP, *by]
         pieces = (
             df.filter(inside)
             .groupBy(*keys)
@@ -166,10 +180,10 @@ class Layout:
                 *[F.max(c).alias(n) for n, c in largest.items()],
             )
         )
-        whole = pieces.groupBy(METER, event).agg(
+        whole = pieces.groupBy(*by).agg(
             *[F.min(n).alias(n) for n in smallest], *[F.max(n).alias(n) for n in largest]
         )
-        spread = pieces.select(*keys).join(whole, [METER, event])
+        spread = pieces.select(*keys).join(whole, by)
         return df.join(spread, keys, "left")
 
 
@@ -190,9 +204,10 @@ class Frame:
     def split(df: DataFrame, scale: Scale) -> Frame:
         """Separate meters too long for one task. Costs one pre-aggregated count per meter."""
         counts = df.groupBy(METER).agg(F.count("*").alias("_rows"))
+        layout = Layout(tuple(row_order(df)))
         candidates = counts.filter(F.col("_rows") > scale.hot_meter_rows)
         if candidates.isEmpty():
-            return Frame((Part(df, Layout(tuple(row_order(df)))),), scale)
+            return Frame((Part(df, layout),), scale)
         total = counts.agg(F.sum("_rows")).scalar()
         # At most max_hot_meters meters can pass this filter, whatever the data.
         hot = pin(
@@ -202,24 +217,30 @@ class Frame:
         long = df.join(F.broadcast(hot), METER, "left_semi")
         return Frame(
             (
-                Part(cold, Layout(tuple(row_order(df)))),
-                Part(long, Layout(tuple(row_order(df)), scale.strip_rows)),
+                Part(cold, layout),
+                Part(long, replace(layout, strip_rows=scale.strip_rows)),
             ),
             scale,
         ).arrange()
 
+    @staticmethod
+    def stacked(df: DataFrame, scale: Scale) -> Frame:
+        """One sequence of all meters' rows, in strips: neighbours may belong to other meters."""
+        layout = Layout(tuple(row_order(df)), scale.strip_rows, stacked=True)
+        return Frame((Part(df, layout),), scale).arrange()
+
     def arrange(self) -> Frame:
         """Adopt the row order of the current columns; positions are renewed after rows moved."""
         placed = []
         for part in self.parts:
             order = row_order(part.df)
             if not part.layout.striped:
-                placed.append(Part(part.df, Layout(tuple(order))))
+                placed.append(Part(part.df, replace(part.layout, order=tuple(order))))
                 continue
             df = with_positions(part.df.drop(POS, STRIP), [METER, *order])
             length = self.scale.strip_rows
             df = df.withColumn(STRIP, F.floor(F.col(POS) / F.lit(length)))
-            placed.append(Part(df, Layout((POS,), length)))
+            placed.append(Part(df, replace(part.layout, order=(POS,))))
         return Frame(tuple(placed), self.scale)
 
     def map(self, work: Callable[[DataFrame, Layout], DataFrame]) -> Frame:
