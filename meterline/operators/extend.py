@@ -64,7 +64,8 @@ def _settle_gap(
     if not profile.notebook_mask_order:
         return df.withColumn(name, F.when(~new, F.col(name)))
     rest = residual_minutes(F.col(name), params)
-    return df.withColumn("energy_gap_time", F.when(new, rest))
+    kept = F.col("energy_gap_time") if "energy_gap_time" in df.columns else F.lit(None)
+    return df.withColumn("energy_gap_time", F.when(new, rest).otherwise(kept))
 
 
 def residual_minutes(gap: Column, params: Params = Params()) -> Column:

@@ -44,8 +44,8 @@ def add_context(frame: Frame, profile: Profile) -> Frame:
     ):
         return frame.map(lambda df, _: df.withColumns(nothing))
 
-    frame = frame.pin()
-
+    # The summary reads four columns; computing them a second time is cheaper than storing the
+    # whole frame, provided the caller has pinned expensive work before.
     def summarise(part: Part) -> DataFrame:
         at = part.layout.key
         loaded = F.col("load").isNotNull()
