@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterline.functions.exprs import is_true
+from meterline.functions.exprs import ne
+from meterline.operators.sessions import event_group
 from meterline.operators.timeline import Frame, Layout
 from meterline.params import EFFECTIVE, Params, Profile, Scale
 from meterline.schema import EVENT, METER, TS, require
@@ -14,23 +15,31 @@ FLAG = "timestamp_issue"
 
 
 def _flag(df: DataFrame, layout: Layout, margin: float, edge: str, name: str) -> DataFrame:
-    """Flag events whose edge row gained at most ``margin`` over the previous event's edge row."""
-    at = layout.key
-    bound = {"smallest": {"_edge": at}} if edge == "first" else {"largest": {"_edge": at}}
-    df = layout.per_event(df, EVENT, **bound, within_meter=True)
-    on_edge = is_true(F.col("_edge") == at)
-    previous = F.when(on_edge, F.struct(F.col(METER).alias("m"), F.col("energy").alias("v")))
-    df = df.withColumn("_edge_energy", previous)
-    df = layout.running(df, lasts={"_previous": F.col("_edge_energy")}, inclusive=False)
-    repeated = (F.col("energy") - F.lit(margin) <= F.col("_previous")["v"]) & (
-        F.col("_previous")["m"] == F.col(METER)
-    )
-    verdict = F.struct(at.alias("at"), F.when(repeated, F.lit(True)).alias("v"))
-    df = layout.per_event(
-        df.withColumn("_verdict", F.when(on_edge, verdict)), EVENT, largest={name: F.col("_verdict")}
-    )
-    df = df.withColumn(name, F.col(name)["v"])
-    return df.drop("_edge", "_edge_energy", "_previous", "_verdict")
+    """Flag events whose edge row gained at most ``margin`` over the previous event's edge row.
+
+    The rows of an event follow each other, as sessionising leaves them, so the edge is where
+    the neighbour has another event.
+    """
+    last = edge == "last"
+    inside = F.col(EVENT).isNotNull()
+
+    def find_edge(rows: DataFrame) -> DataFrame:
+        def beside(c: str) -> Column:
+            return (F.lead(c) if last else F.lag(c)).over(layout.window)
+
+        outer = ne(F.col(EVENT), beside(EVENT)) | ne(F.col(METER), beside(METER))
+        counter = F.struct(F.col(METER).alias("m"), F.col("energy").alias("v"))
+        return rows.withColumn("_edge", F.when(inside & outer, counter))
+
+    df = layout.neighbours(df, 0 if last else 1, 1 if last else 0, find_edge)
+    df = layout.running(df, lasts_before={"_previous": F.col("_edge")})
+    before = F.col("_previous")
+    repeated = (F.col("energy") - F.lit(margin) <= before["v"]) & (before["m"] == F.col(METER))
+    verdict = F.struct(layout.key.alias("at"), F.when(repeated, F.lit(True)).alias("v"))
+    df = df.withColumn("_verdict", F.when(F.col("_edge").isNotNull(), verdict))
+    df = layout.per_event(df, event_group(df), largest={name: F.col("_verdict")})
+    df = df.withColumn(name, F.when(inside, F.col(name)["v"]))
+    return df.drop("_edge", "_previous", "_verdict")
 
 
 def flag_frame(frame: Frame, params: Params, profile: Profile) -> Frame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterline.functions.exprs import MINUTE_US, add_micros, is_true, minutes_to_micros, ne
+from meterline.operators.sessions import event_group
 from meterline.operators.timeline import Frame, Layout
 from meterline.params import EFFECTIVE, Params, Profile, Scale
 from meterline.schema import EVENT, METER, TS, require
@@ -85,9 +86,9 @@ def _adopt(
         )
         for c in columns
     }
-    df = layout.per_event(df, EVENT, largest=found)
+    df = layout.per_event(df, event_group(df), largest=found)
     for c in columns:
-        value = F.col(f"_new_{c}")["v"]
+        value = F.when(F.col(EVENT).isNotNull(), F.col(f"_new_{c}")["v"])
         kept = value if profile.forget_unextended else F.coalesce(value, F.col(c))
         df = df.withColumn(c, kept)
     return df.drop(*found)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +28,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def pin(df: DataFrame) -> DataFrame:
     """Materialise once, so that several branches read the same rows instead of recomputing them.
 
-    The checkpoint keeps the hash partitioning and sort order, so windows on the same
-    keys need no further exchange.
+    A compressed table in the shared folder survives the loss of executors, and its readers scan
+    only the columns they need. The files live as long as the checkpoint folder does.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from meterline.operators.timeline import Layout
 from meterline.params import Params, Profile
 from meterline.schema import METER, TS
 
-REACH = 8  # rows on either side that can influence the flags of a row
+REACH = 6  # rows on either side that can influence the flags of a row
 START, END = "cooking_start", "cooking_end"
 
 
@@ -60,95 +60,130 @@ def add_loads(df: DataFrame, layout: Layout, params: Params, profile: Profile) -
     return layout.neighbours(df, 1, 1, work)
 
 
+def _own_signs(params: Params, profile: Profile) -> dict[str, str]:
+    """What a reading says by itself: first guesses of start and end, and its surroundings."""
+    limit = params.t_between * MINUTE_US
+    load_limit = (params.t_between + params.time_resolution) * MINUTE_US
+    powered = f"power >= {params.power_threshold!r}D"
+    idle = f"power < {params.power_threshold!r}D"
+    gained = f"_gain >= {params.energy_threshold!r}D"
+    since_load = "timestampdiff(MICROSECOND, timestamp_load, timestamp)"
+    since_prev_load = "timestampdiff(MICROSECOND, _prev_load_ts, timestamp)"
+    load_step = "timestampdiff(MICROSECOND, _prev_load_ts, timestamp_load)"
+    near = f"diff_prev_timestamp < {limit}"
+
+    # A start after a pause in loads; the later of the conflicting conditions is asked first.
+    start = f"""
+        CASE WHEN {since_load} > {limit} AND {powered} THEN true
+             WHEN {load_step} > {load_limit} AND {powered} THEN true
+             WHEN {gained} AND {near} THEN false
+             ELSE ({since_prev_load} > {limit} AND {gained}) <=> true OR NOT _has_prev END"""
+    end = f"""
+        ({since_load} > {limit} AND {idle} AND _prev_power < {params.power_threshold!r}D
+         AND _has_prev) <=> true"""
+    if profile.equal_energy_ends:
+        end += " OR (energy = _next_energy) <=> true"
+    closing = "NOT _has_next" + (
+        " AND NOT _is_last_meter" if profile.last_frame_row_stays_open else ""
+    )
+    return {
+        "start": start,
+        "end": f"{end} OR ({closing})",
+        "first": "NOT _has_prev",
+        "after_meter": "NOT _has_prev AND _has_prev_meter",
+        "near_before": f"({near}) <=> true",
+        "within_before": f"(diff_prev_timestamp <= {limit}) <=> true",
+        "far_before": f"(diff_prev_timestamp > {limit}) <=> true",
+        "within_after": f"(diff_next_timestamp <= {limit}) <=> true",
+        "far_after": f"(diff_next_timestamp > {limit}) <=> true",
+        "prev_powered": f"(_prev_power >= {params.power_threshold!r}D) <=> true",
+    }
+
+
 def add_flags(df: DataFrame, layout: Layout, params: Params, profile: Profile) -> DataFrame:
-    """The rule cascade. Needs the load columns, ``timestamp_load`` and the meter context.
+    """Start and end flags. Needs the load columns, ``timestamp_load`` and the meter context.
 
-    Each rule reads its neighbours' flags as the rule before left them, so flags that are read
-    through a window form a new stage; all stages share one partitioning and sort order.
-    Null comparisons count as false.
+    Each refinement reads its neighbours' flags as the refinement before left them. Together
+    they reach no further than a few rows, so one window fetches the signs of all rows in reach
+    and the refinements are plain expressions on them.
     """
-    limit = params.t_between * MINUTE_US
-    load_limit = (params.t_between + params.time_resolution) * MINUTE_US
-    w = layout.window
 
-    def prev(name: str) -> Column:
-        return is_true(F.lag(name).over(w))
+    def at(name: str, k: int) -> str:
+        """Name of a value of the row ``k`` rows ahead."""
+        return f"_{name}_{'m' if k < 0 else 'p'}{abs(k)}"
 
-    def following(name: str) -> Column:
-        return is_true(F.lead(name).over(w))
+    def sign(name: str, k: int) -> str:
+        """A sign of the row ``k`` rows ahead; rows beyond the edge have none."""
+        return f"({at('row', k)}.{name} <=> true)"
+
+    def stage(rows: DataFrame, reach: range, **flags) -> DataFrame:
+        """Evaluate each flag for all rows in reach of the current one."""
+        return rows.selectExpr(
+            "*", *[f"{rule(k)} AS {at(name, k)}" for name, rule in flags.items() for k in reach]
+        )
 
     def work(rows: DataFrame) -> DataFrame:
-        first, last = ~F.col("_has_prev"), ~F.col("_has_next")
-        before, after = F.col("diff_prev_timestamp"), F.col("diff_next_timestamp")
-        powered = F.col("power") >= params.power_threshold
-        idle = F.col("power") < params.power_threshold
-        prev_power = F.col("_prev_power")
-
-        rows = rows.withColumn(
-            "_prev_load_ts",
-            F.coalesce(
-                F.lag("timestamp_load").over(w), F.when(first, F.col("_carried_load_ts"))
-            ),
+        columns = [c for c in rows.columns if c not in HELPERS]
+        signs = [f"{e} AS {n}" for n, e in _own_signs(params, profile).items()]
+        rows = rows.selectExpr("*", f"struct({', '.join(signs)}) AS {at('row', 0)}")
+        w, own = layout.window, F.col(at("row", 0))
+        rows = rows.withColumns(
+            {at("row", k): F.lead(own, k).over(w) for k in range(1, 5)}
+            | {at("row", -k): F.lag(own, k).over(w) for k in range(1, 5)}
+        )
+
+        # An end before the next start, and before an end that comes after a pause.
+        rows = stage(
+            rows,
+            range(-3, 4),
+            end1=lambda k: f"{sign('end', k)} OR {sign('start', k + 1)}",
         )
-        since_load = micros_between(F.col("timestamp_load"), F.col(TS))
-        since_prev_load = micros_between(F.col("_prev_load_ts"), F.col(TS))
-        load_step = micros_between(F.col("_prev_load_ts"), F.col("timestamp_load"))
-        gained = F.col("_gain") >= params.energy_threshold
-
-        # A start after a pause in loads; later rules win over earlier ones.
-        start = (
-            F.when((since_load > limit) & powered, True)
-            .when((load_step > load_limit) & powered, True)
-            .when(gained & (before < limit), False)
-            .when(((since_prev_load > limit) & gained) | first, True)
-            .otherwise(False)
+        rows = stage(
+            rows,
+            range(-3, 3),
+            end2=lambda k: f"{at('end1', k)} OR ({at('end1', k + 1)} AND {sign('far_after', k)})",
         )
-        end = is_true((since_load > limit) & idle & (prev_power < params.power_threshold)
-                      & F.col("_has_prev"))
-        if profile.equal_energy_ends:
-            end = end | is_true(F.col("energy") == F.col("_next_energy"))
-        rows = rows.withColumns({START: start, END: end})
-
-        # Ends before the next start and at the end of a meter.
-        closing = last
-        if profile.last_frame_row_stays_open:
-            closing = closing & ~F.col("_is_last_meter")
-        rows = rows.withColumn(END, F.col(END) | following(START) | closing)
-        rows = rows.withColumn(END, F.col(END) | is_true(following(END) & (after > limit)))
 
         # Two ends in a row: the second one is an event of its own ...
-        rows = rows.withColumn("_prev_end", prev(END) | (first & F.col("_has_prev_meter")))
-        both_ends = F.col("_prev_end") & F.col(END)
-        rows = rows.withColumns(
-            {
-                START: F.col(START) | both_ends,
-                END: F.col(END) & ~is_true(both_ends & (before > limit) & (after <= limit)),
-            }
+        def both(k: int) -> str:
+            return f"(({at('end2', k - 1)} OR {sign('after_meter', k)}) AND {at('end2', k)})"
+
+        rows = stage(
+            rows,
+            range(-2, 3),
+            start2=lambda k: f"{sign('start', k)} OR {both(k)}",
+            end3=lambda k: f"{at('end2', k)} AND NOT "
+            f"({both(k)} AND {sign('far_before', k)} AND {sign('within_after', k)})",
         )
         # ... unless the second of two starts belongs to the first.
-        rows = rows.withColumns(
-            {
-                START: F.col(START)
-                & ~is_true(prev(START) & (before <= limit) & (after > limit)),
-                END: F.col(END)
-                | is_true(
-                    (F.lead(END).over(w) == F.lit(False))
-                    & (F.lag(END).over(w) == F.lit(False))
-                    & (after > limit)
-                ),
-            }
+        rows = stage(
+            rows,
+            range(-1, 2),
+            start3=lambda k: f"{at('start2', k)} AND NOT "
+            f"({at('start2', k - 1)} AND {sign('within_before', k)} AND {sign('far_after', k)})",
+        )
+
+        def final(k: int) -> str:
+            kept = (
+                f"({at('start3', k)} AND NOT ({at('start3', k - 1)} AND {sign('near_before', k)} "
+                f"AND {sign('prev_powered', k)}))"
+            )
+            return f"({kept} OR {sign('first', k)})" if profile.force_start_at_meter else kept
+
+        previous, following = f"{at('row', -1)} IS NOT NULL", f"{at('row', 1)} IS NOT NULL"
+        lone_end = (
+            f"({previous} AND {following} AND NOT {at('end3', -1)} AND NOT {at('end3', 1)} "
+            f"AND {sign('far_after', 0)})"
         )
-        rows = rows.withColumn(
-            START,
-            F.col(START)
-            & ~is_true(
-                prev(START) & (before < limit) & (prev_power >= params.power_threshold)
-            ),
+        return rows.selectExpr(
+            *columns,
+            f"{final(0)} AS {START}",
+            f"({at('end3', 0)} OR {lone_end}) AND NOT {sign('first', 0)} AS {END}",
+            f"CASE WHEN {following} THEN {final(1)} END AS _next_start",
         )
-        if profile.force_start_at_meter:
-            rows = rows.withColumn(START, F.col(START) | first)
-        rows = rows.withColumn(END, F.col(END) & ~first)
-        rows = rows.withColumn("_next_start", F.lead(START).over(w))
-        return rows.drop("_prev_load_ts", "_prev_end", "_prev_power", "_next_energy")
 
     return layout.neighbours(df, REACH, REACH, work)
+
+
+# Columns that only the flags need.
+HELPERS = ("_prev_load_ts", "_prev_power", "_next_energy")

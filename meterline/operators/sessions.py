@@ -97,11 +97,13 @@ def add_load_instances(df: DataFrame, layout: Layout) -> DataFrame:
         df,
         lasts={"timestamp_load": F.when(opens, F.col(TS))},
         sums={"load_count": loaded.cast("bigint")},
+        lasts_before={"_prev_load_ts": F.when(opens, F.col(TS))},
     )
     across = F.col("energy") - F.col("_carried_energy")
     return df.withColumns(
         {
             "timestamp_load": F.coalesce("timestamp_load", "_carried_load_ts"),
+            "_prev_load_ts": F.coalesce("_prev_load_ts", "_carried_load_ts"),
             "load_count": F.col("load_count") + F.col("_carried_loads"),
             "_gain": F.coalesce("_gain", F.when(~F.col("_has_prev"), across)),
         }
@@ -116,11 +118,13 @@ def flag_frame(frame: Frame, params: Params, profile: Profile) -> Frame:
     return frame.map(lambda df, layout: add_flags(df, layout, params, profile))
 
 
+def number_in_meter(df: DataFrame, layout: Layout) -> DataFrame:
+    return layout.running(df, sums={RAW_EVENT: F.col(START).cast("bigint")})
+
+
 def add_bounds(df: DataFrame, layout: Layout, profile: Profile) -> DataFrame:
-    """Event number within the meter and the event's first/last time and energy."""
+    """First and last time and energy of the row's event."""
     at = layout.key
-    starts = {RAW_EVENT: F.col(START).cast("bigint")}
-    df = layout.running(df, sums=starts)
 
     def known(when: Column = F.lit(True)) -> Column:
         value = F.struct(at.alias("at"), F.col("energy").alias("v"))
@@ -217,6 +221,11 @@ def number_events(frame: Frame) -> Frame:
     )
 
 
+def event_group(df: DataFrame) -> str:
+    """Column to group an event's rows by; rows outside kept events may be in a group too."""
+    return RAW_EVENT if RAW_EVENT in df.columns else EVENT
+
+
 HELPERS = (
     "_has_prev",
     "_has_next",
@@ -244,13 +253,15 @@ def session_frame(
     """
     frame = frame.map(lambda df, _: df.drop(*_stale(profile)))
     frame = flag_frame(frame, params, profile)
+    frame = frame.map(number_in_meter).by_event(RAW_EVENT)
     frame = frame.map(lambda df, layout: add_bounds(df, layout, profile))
     frame = frame.map(lambda df, _: add_durations(df, params))
     stacked = all(p.layout.stacked for p in frame.parts)  # numbers already run over the frame
     if numbered and not stacked:
         frame = number_events(frame)
-    helpers = [h for h in HELPERS if not (keep and h == RAW_EVENT)]
-    return frame.map(lambda df, _: df.drop(*helpers))
+    if keep:
+        return frame.map(lambda df, _: df.drop(*[h for h in HELPERS if h != RAW_EVENT]))
+    return frame.map(lambda df, _: df.drop(*HELPERS)).arrange()
 
 
 def _stale(profile: Profile) -> tuple[str, ...]:

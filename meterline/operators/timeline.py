@@ -113,13 +113,19 @@ class Layout:
         df: DataFrame,
         lasts: dict[str, Column] | None = None,
         sums: dict[str, Column] | None = None,
-        inclusive: bool = True,
+        lasts_before: dict[str, Column] | None = None,
     ) -> DataFrame:
-        """Latest non-null value and running sum from the meter's first row to this one."""
-        lasts, sums = lasts or {}, sums or {}
-        frame = self.window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        found = {n: F.last(c, ignorenulls=True).over(frame) for n, c in lasts.items()}
-        found |= {n: F.coalesce(F.sum(c).over(frame), F.lit(0)) for n, c in sums.items()}
+        """Latest non-null value and running sum from the meter's first row to this one.
+
+        ``lasts_before`` stops one row earlier.
+        """
+        lasts, sums, lasts_before = lasts or {}, sums or {}, lasts_before or {}
+        here = self.window.rowsBetween(Window.unboundedPreceding, 0)
+        found = {n: F.last(c, ignorenulls=True).over(here) for n, c in lasts.items()}
+        found |= {n: F.coalesce(F.sum(c).over(here), F.lit(0)) for n, c in sums.items()}
+        above = self.window.rowsBetween(Window.unboundedPreceding, -1)
+        found |= {n: F.last(c, ignorenulls=True).over(above) for n, c in lasts_before.items()}
+        lasts = lasts | lasts_before
         if not self.striped:
             return df.withColumns(found)
         df = pin(df)
@@ -165,7 +171,12 @@ class Layout:
         inside = F.col(event).isNotNull()
         by = [METER, event] if within_meter else [*self.group, event]
         if not self.striped:
-            whole = Window.partitionBy(*by)
+            # Ordered although minimum and maximum need no order: the sort then also serves
+            # windows over the meter that order by event first.
+            rest = [c for c in self.order if c != event]
+            whole = Window.partitionBy(*by).orderBy(*rest).rowsBetween(
+                Window.unboundedPreceding, Window.unboundedFollowing
+            )
             return df.withColumns(
                 {n: F.when(inside, F.min(c).over(whole)) for n, c in smallest.items()}
                 | {n: F.when(inside, F.max(c).over(whole)) for n, c in largest.items()}
@@ -243,6 +254,19 @@ class Frame:
             placed.append(Part(df, replace(part.layout, order=(POS,))))
         return Frame(tuple(placed), self.scale)
 
+    def by_event(self, event: str) -> Frame:
+        """Order by event number first. Same rows in the same order as long as numbers rise
+        with time, but event and meter windows then share one sort."""
+        return Frame(
+            tuple(
+                p
+                if p.layout.striped
+                else Part(p.df, replace(p.layout, order=(event, *p.layout.order)))
+                for p in self.parts
+            ),
+            self.scale,
+        )
+
     def map(self, work: Callable[[DataFrame, Layout], DataFrame]) -> Frame:
         return Frame(tuple(Part(work(p.df, p.layout), p.layout) for p in self.parts), self.scale)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from meterline.operators.despike import despike_frame
 from meterline.operators.duplicates import drop_frame, flag_frame
 from meterline.operators.extend import extend_beginning_frame, extend_ending_frame
-from meterline.operators.sessions import prepare, session_frame
+from meterline.operators.sessions import RAW_EVENT, prepare, session_frame
 from meterline.operators.slices import period
 from meterline.operators.summary import event_table, only_events
 from meterline.operators.timeline import Frame
@@ -29,10 +29,11 @@ def _clean_frame(readings: DataFrame, params: Params, profile: Profile, scale: S
 
 
 def _extended(frame: Frame, params: Params, profile: Profile, numbered: bool) -> Frame:
-    frame = session_frame(frame, params, profile, numbered=numbered)
+    frame = session_frame(frame, params, profile, numbered=numbered, keep=True)
     frame = drop_frame(flag_frame(frame, params, profile), profile)
     frame = extend_ending_frame(frame, params, profile)
-    return extend_beginning_frame(frame, params, profile)
+    frame = extend_beginning_frame(frame, params, profile)
+    return frame.map(lambda df, _: df.drop(RAW_EVENT))
 
 
 def extended_sessions(
