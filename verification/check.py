@@ -12,17 +12,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 
+from meterline.session import configure
 from verification.queries import QUERIES
 
 
 def local_session() -> SparkSession:
     spark = (
-        SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', '8')}]")
+        configure(SparkSession.builder)
+        .master(f"local[{os.environ.get('BENCH_CPUS', '8')}]")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
