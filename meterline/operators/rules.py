@@ -63,23 +63,24 @@ def add_loads(df: DataFrame, layout: Layout, params: Params, profile: Profile) -
 def _own_signs(params: Params, profile: Profile) -> dict[str, str]:
     """What a reading says by itself: first guesses of start and end, and its surroundings."""
     limit = params.t_between * MINUTE_US
-    load_limit = (params.t_between + params.time_resolution) * MINUTE_US
+    pause = f"INTERVAL '{params.t_between}' MINUTE"
+    load_pause = f"INTERVAL '{params.t_between + params.time_resolution}' MINUTE"
     powered = f"power >= {params.power_threshold!r}D"
     idle = f"power < {params.power_threshold!r}D"
     gained = f"_gain >= {params.energy_threshold!r}D"
-    since_load = "timestampdiff(MICROSECOND, timestamp_load, timestamp)"
-    since_prev_load = "timestampdiff(MICROSECOND, _prev_load_ts, timestamp)"
-    load_step = "timestampdiff(MICROSECOND, _prev_load_ts, timestamp_load)"
+    since_load = "(timestamp - timestamp_load)"
+    since_prev_load = "(timestamp - _prev_load_ts)"
+    load_step = "(timestamp_load - _prev_load_ts)"
     near = f"diff_prev_timestamp < {limit}"
 
     # A start after a pause in loads; the later of the conflicting conditions is asked first.
     start = f"""
-        CASE WHEN {since_load} > {limit} AND {powered} THEN true
-             WHEN {load_step} > {load_limit} AND {powered} THEN true
+        CASE WHEN {since_load} > {pause} AND {powered} THEN true
+             WHEN {load_step} > {load_pause} AND {powered} THEN true
              WHEN {gained} AND {near} THEN false
-             ELSE ({since_prev_load} > {limit} AND {gained}) <=> true OR NOT _has_prev END"""
+             ELSE ({since_prev_load} > {pause} AND {gained}) <=> true OR NOT _has_prev END"""
     end = f"""
-        ({since_load} > {limit} AND {idle} AND _prev_power < {params.power_threshold!r}D
+        ({since_load} > {pause} AND {idle} AND _prev_power < {params.power_threshold!r}D
          AND _has_prev) <=> true"""
     if profile.equal_energy_ends:
         end += " OR (energy = _next_energy) <=> true"

@@ -1,6 +1,6 @@
 import random
 from dataclasses import replace
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pytest
 
@@ -105,3 +105,21 @@ def test_one_meter_alone_equals_its_part_of_the_whole(spark):
     whole = m.cooking_event(df, profile=DOCUMENTED).filter("meter_number = 3")
     alone = m.cooking_event(df.filter("meter_number = 3"), profile=DOCUMENTED)
     assert rows_of(whole, *names) == rows_of(alone, *names)
+
+
+def test_session_time_zone_does_not_matter(spark):
+    rows = [
+        (1, datetime(2024, 3, 10, 1, 50), 1.0, 0.9),
+        (1, datetime(2024, 3, 10, 2, 5), 1.1, 0.9),
+        (1, datetime(2024, 3, 10, 3, 10), 1.2, 0.9),
+        (1, datetime(2024, 3, 10, 3, 15), 1.3, 0.9),
+    ]
+    df = readings(spark, rows)
+    columns = [c for c in ALL if not c.startswith("time")]
+    expected = rows_of(m.cooking_event(df), *columns, "diff_prev_timestamp")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert rows_of(m.cooking_event(df), *columns, "diff_prev_timestamp") == expected
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [r[-1] for r in expected] == [None, 15 * 60e6, 65 * 60e6, 5 * 60e6]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterline.functions.exprs import micros_between
 from meterline.operators.timeline import Frame
 from meterline.params import Scale
 from meterline.schema import METER
@@ -25,11 +26,12 @@ def readings(
     compress: int = 100,
 ) -> DataFrame:
     epoch = F.lit(EPOCH).cast("timestamp_ntz")
-    offset = F.expr(
-        f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '{EPOCH}', CAST(ts AS TIMESTAMP_NTZ)) div {compress}"
-    )
+    since = micros_between(epoch, F.col("ts").cast("timestamp_ntz"))
+    # Whole-number division; offsets are never negative.
+    offset = (since - F.pmod(since, F.lit(compress))) / F.lit(compress)
+    offset = offset.cast("bigint")
     if whole_seconds:
-        offset = F.floor(offset / F.lit(1_000_000)) * 1_000_000
+        offset = offset - F.pmod(offset, F.lit(1_000_000))
     error = F.col("event_type") == "error"
     raw = events(spark, sf_dir).select(
         F.col("user_id").alias(METER),
