@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from llm import minhash
+from llm import line_dedup, minhash, quality
 
-QUERIES = {**minhash.QUERIES}
+QUERIES = {**line_dedup.QUERIES, **quality.QUERIES, **minhash.QUERIES}
