@@ -14,6 +14,9 @@ SPACE = " \t\n\x0b\f\r"
 GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
+#: Words that part the entries of a menu.
+SEPARATORS = ("|", "»", "›", "·", "•", ">", "/")
+
 #: Phrases of notices and menus; a line of up to ``boilerplate_words`` words that has one fails.
 BOILERPLATE = (
     "all rights reserved",
@@ -82,7 +85,10 @@ def line_passes(line: Column, rules: LineRules) -> Column:
         & ((n < rules.capital_words) | (capitals <= rules.capital_share * letters))
         & ((n >= rules.open_end_words) | bare.rlike(r"[.!?:;…。\"'”’»)\]]$"))
     )
-    entries = F.size(F.split(bare, r"(?<=[\x20\x09-\x0D])[|»›·•>/](?=[\x20\x09-\x0D])")) - 1
+    entries = words
+    for separator in SEPARATORS:
+        entries = F.array_remove(entries, separator)
+    entries = n - F.size(entries)
     navigation = (entries < rules.separators) & (
         (n < rules.distinct_words) | (F.size(F.array_distinct(words)) >= rules.distinct_share * n)
     )
@@ -211,4 +217,61 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_quality_rules": (op5_quality_rules, None)}
+_PHRASES = " OR ".join(f"contains(lower(bare), '{x}')" for x in BOILERPLATE)
+_SEPARATORS = ", ".join(f"'{x}'" for x in SEPARATORS)
+
+OP5_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls,
+         list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS ws
+  FROM documents
+), base AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(ws, x -> length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(len(list_filter(ls, x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')))
+              - len(list_distinct(list_filter(ls, x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS BIGINT) AS n_dup_lines
+  FROM d
+), windows AS (
+  SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)
+), again AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1
+), repeats AS (
+  SELECT doc_id, count(DISTINCT j) AS n_repeat_words
+  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)
+), measured AS (
+  SELECT doc_id, bare, string_split_regex(bare, '[\\x20\\x09-\\x0D]+') AS lw,
+         len(string_split_regex(bare, '[\\x20\\x09-\\x0D]+')) AS n,
+         length(regexp_replace(bare, '\\P{{L}}+', '', 'g')) AS letters,
+         length(regexp_replace(bare, '\\P{{Lu}}+', '', 'g')) AS capitals
+  FROM lines
+), verdicts AS (
+  SELECT doc_id, length(bare) AS chars, bare = '' OR (
+         len(regexp_extract_all(bare, '[#*$%&|<>]')) <= 0.3 * n
+         AND len(regexp_extract_all(bare, '[!?]')) <= greatest(2, 0.3 * n)
+         AND (n < 4 OR capitals <= 0.7 * letters)
+         AND (n >= 3 OR regexp_matches(bare, '[.!?:;…。"''”’»)\\]]$'))
+         AND len(list_filter(lw, x -> x IN ({_SEPARATORS}))) < 2
+         AND (n < 10 OR len(list_distinct(lw)) >= 0.34 * n)
+         AND NOT (n <= 30 AND ({_PHRASES}))) AS passes
+  FROM measured
+), loss AS (
+  SELECT doc_id, count(*) FILTER (NOT passes) AS gone, sum(chars) AS total, coalesce(sum(chars) FILTER (passes), 0) AS left_over
+  FROM verdicts GROUP BY doc_id
+), all_of AS (
+  SELECT b.*, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_lines_removed,
+         CASE WHEN coalesce(total, 0) > 0 THEN CAST(left_over AS DOUBLE) / CAST(total AS DOUBLE) ELSE 0.0 END AS share
+  FROM base b LEFT JOIN repeats USING (doc_id) LEFT JOIN loss USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND share >= 0.5 AS kept,
+       n_lines_removed, round(share, 6) AS kept_share
+FROM all_of
+"""
+
+QUERIES = {"op5_quality_rules": (op5_quality_rules, OP5_SQL)}

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
-from llm import line_dedup, minhash, quality
+from llm import decontaminate, line_dedup, minhash, quality
 
-QUERIES = {**line_dedup.QUERIES, **quality.QUERIES, **minhash.QUERIES}
+QUERIES = {
+    **line_dedup.QUERIES,
+    **decontaminate.QUERIES,
+    **quality.QUERIES,
+    **minhash.QUERIES,
+}
