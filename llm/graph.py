@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from llm.store import drop, written
@@ -37,18 +37,19 @@ def components(links: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     after O(log^2 n) of them. All state is in tables; minima are pre-aggregated before the shuffle.
     """
     spark = links.sparkSession
-    edges = written(
-        links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "links"
-    )
-    before = None
+    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    before, last = None, None
     for _ in range(max_rounds):
-        after = written(_small_star(_large_star(edges).distinct()).where("u <> v").distinct(), "links")
-        drop(spark, edges)
-        edges = after
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
+        seen = Observation()
+        after = _small_star(_large_star(edges)).where("u <> v").distinct()
+        mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+        edges = written(after.observe(seen, F.count("*").alias("n"), mark.alias("mark")), "links")
+        if last is not None:
+            drop(spark, last)
+        last = edges
+        if seen.get == before:
             break
-        before = mark
+        before = seen.get
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(

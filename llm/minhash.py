@@ -3,10 +3,10 @@
 1. One pass makes each document's set of word shingles, its digest and its signature: the minima of
    ``bands * rows`` universal hash functions. Documents with equal sets are one class from here on.
 2. Classes that agree in a band meet in a bucket. A bucket is not expanded into pairs: its classes
-   are first tied to one pivot, and later only pairs of classes that are still in different
-   components are looked at, so a bucket of n near copies costs about n comparisons.
-3. A tie is kept if the signatures agree often enough, and then if the full sets, made again from the
-   texts of the classes concerned, reach the similarity.
+   are first compared with one pivot, by signature and then by the full sets, which are made again from
+   the texts of the classes concerned. So a bucket of n near copies costs about n comparisons.
+3. Only classes of one bucket that are in different components then are compared further: inside
+   the bucket, set by set, a crowded one in pairs of blocks. One link leaves it for two components.
 4. Large-star and small-star steps turn links into components.
 
 With the defaults (32 bands of 5) two documents of similarity 0.8 miss each other in all bands with
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from llm import words as w
 from llm.graph import components
-from llm.store import drop, sized_join, written
+from llm.sets import PackedSets, split_crowds, whole_keys
+from llm.store import drop, partitions, sized_join, written
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,7 @@ class MinHash:
     bands: int = 32
     rows: int = 5
     seed: int = 1
-    pivot_rounds: int = 3
+    block_rows: int = 2048
 
     @property
     def hashes(self) -> int:
@@ -219,47 +220,93 @@ def _linked(pairs: DataFrame, signed: DataFrame, docs: DataFrame, settings: MinH
     return links
 
 
-def _in_rounds(buckets: DataFrame, signed: DataFrame, docs: DataFrame, settings: MinHash) -> DataFrame:
+def _tying(settings: MinHash):
+    """Links between members of different parts of a bucket: one for each two parts that any pair ties."""
+    numerator, denominator = settings.numerator, settings.denominator
+
+    def run(batches):
+        for table in whole_keys(batches, 4_000):
+            sets = PackedSets(table.column("set"))
+            key, rep, part, left = (table.column(c).to_numpy() for c in ("key", "rep", "part", "left"))
+            apart = table.column("apart").to_numpy(zero_copy_only=False).astype(bool)
+            found = []
+
+            def fits(x, y):
+                ok = (part[x] != part[y]) & ((left[x] != left[y]) | ~apart[x])
+                low, high = np.minimum(sets.size[x], sets.size[y]), np.maximum(sets.size[x], sets.size[y])
+                return ok & (denominator * low >= numerator * high)
+
+            def note(x, y, shared):
+                ok = denominator * shared >= numerator * (sets.size[x] + sets.size[y] - shared)
+                x, y = x[ok], y[ok]
+                parts = np.stack([np.minimum(part[x], part[y]), np.maximum(part[x], part[y])], 1)
+                once = np.unique(parts, axis=0, return_index=True)[1] if len(x) else []
+                found.append(np.stack([rep[x][once], rep[y][once]], 1))
+
+            for start, n in zip(*w.runs(key)):
+                rows = np.arange(start, start + n)
+                if n <= 24:
+                    x, y = np.triu_indices(n, 1)
+                    x, y = rows[x], rows[y]
+                    ok = fits(x, y)
+                    note(x[ok], y[ok], sets.shared(x[ok], y[ok]))
+                    continue
+                rows = rows[np.argsort(part[rows], kind="stable")]
+                blocks = np.array_split(rows, -(-n // 512))
+                for i, one in enumerate(blocks):
+                    for two in blocks[i:]:
+                        if part[one[0]] == part[two[-1]]:
+                            continue
+                        x, y = (z.ravel() for z in np.meshgrid(np.arange(len(one)), np.arange(len(two)), indexing="ij"))
+                        ok = fits(one[x], two[y])
+                        if one is two:
+                            ok &= x < y
+                        if ok.any():
+                            x, y = x[ok], y[ok]
+                            note(one[x], two[y], sets.products(one, two)[x, y])
+            pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pairs.min(axis=1, initial=2**63 - 1)), pa.array(pairs.max(axis=1, initial=-(2**63)))],
+                names=["a", "b"],
+            )
+
+    return run
+
+
+def _within_buckets(buckets: DataFrame, signed: DataFrame, docs: DataFrame, settings: MinHash) -> DataFrame:
     """Links that tie together all that any chain of similar pairs within buckets ties together.
 
-    ``buckets`` has (key, rep, size). Members of one component need no further link, so each round
-    looks at the buckets that still hold several components. The first rounds tie one member of each
-    component in a bucket to one pivot, another each round; the last one takes every pair of members
-    from different components, so nothing is lost.
+    ``buckets`` has (key, rep, size). First all members of a bucket are compared with one pivot.
+    Members of one component need no further link, so of the buckets that still hold several
+    components only members of different ones are compared, inside the bucket and on the full sets.
     """
-    spark = buckets.sparkSession
-    numerator, denominator = settings.numerator, settings.denominator
-    links = None
-    for k in range(settings.pivot_rounds + 1):
-        if links is None:
-            mixed = buckets.withColumn("part", F.col("rep"))
-        else:
-            parts = components(links, "a", "b")
-            known = buckets.join(parts.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
-                "part", F.coalesce("component", "rep")
-            ).drop("component")
-            several = known.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
-            mixed = written(known.join(several.select("key"), "key", "left_semi"), "mixed")
-            if mixed.isEmpty():
-                break
-        if k < settings.pivot_rounds:
-            rank = F.struct(F.xxhash64("rep", F.lit(k)) if k else F.lit(0).cast("long"), "rep", "size")
-            members = mixed.groupBy("key", "part").agg(F.min(rank).alias("m")) if k else mixed.select(
-                "key", "part", rank.alias("m")
-            )
-            pivots = members.groupBy("key").agg(F.min("m").alias("p"))
-            tied = members.join(pivots, "key").select(
-                F.col("m.rep").alias("x"), F.col("p.rep").alias("y"), F.col("m.size").alias("nx"), F.col("p.size").alias("ny")
-            ).where("x <> y")
-        else:
-            left = mixed.select("key", F.col("rep").alias("x"), F.col("part").alias("px"), F.col("size").alias("nx"))
-            right = mixed.select("key", F.col("rep").alias("y"), F.col("part").alias("py"), F.col("size").alias("ny"))
-            tied = left.join(right, "key").where("x < y and px <> py")
-        fits = (denominator * F.least("nx", "ny") >= numerator * F.greatest("nx", "ny"))
-        pairs = tied.where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        found = _linked(pairs, signed, docs, settings)
-        links = found if links is None else links.unionAll(found)
-    return links
+    pivots = buckets.groupBy("key").agg(F.min(F.struct("rep", "size")).alias("p"))
+    tied = buckets.join(pivots, "key").where("rep <> p.rep")
+    alike = settings.denominator * F.least("size", "p.size") >= settings.numerator * F.greatest("size", "p.size")
+    pairs = tied.where(alike).select(F.col("p.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    links = _linked(pairs, signed, docs, settings)
+    parts = components(links, "a", "b")
+    known = buckets.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "key", "rep", F.coalesce("component", "rep").alias("part")
+    )
+    several = known.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
+    mixed = written(known.join(several, "key", "left_semi"), "mixed")
+    concerned = written(mixed.select(F.col("rep").alias("id")).distinct(), "concerned")
+    sets = written(
+        sized_join(docs, concerned, ["id"], "left_semi").mapInArrow(_sets(settings.shingle), "rep long, set binary"),
+        "sets",
+    )
+    more = written(
+        split_crowds(mixed, settings.block_rows, "rep")
+        .join(sets, "rep")
+        .repartition(partitions(docs.sparkSession), "key")
+        .sortWithinPartitions("key")
+        .mapInArrow(_tying(settings), "a long, b long")
+        .distinct(),
+        "links",
+    )
+    drop(docs.sparkSession, mixed, concerned, sets)
+    return links.unionAll(more)
 
 
 def near_duplicates(
@@ -288,7 +335,7 @@ def near_duplicates(
     )
     shared = reps.groupBy("key").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("key")
     buckets = written(reps.join(shared, "key", "left_semi"), "buckets")
-    links = _in_rounds(buckets, signed, texts, settings)
+    links = _within_buckets(buckets, signed, texts, settings)
     parts = components(links, "a", "b")
     named = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select(
         *same, F.coalesce("component", "rep").alias("component_id")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from llm import decontaminate, line_dedup, minhash, quality
+from llm import decontaminate, line_dedup, minhash, packing, quality, token_files
 
 QUERIES = {
     **line_dedup.QUERIES,
     **decontaminate.QUERIES,
     **quality.QUERIES,
+    **packing.QUERIES,
+    **token_files.QUERIES,
     **minhash.QUERIES,
 }
