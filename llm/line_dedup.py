@@ -13,8 +13,8 @@ of every matching pair the later line (by document id, then line number) goes.
    frequent word gathers no crowd.
 3. Filter: within a key, sorted by size, the length and positional filters and a 64-bit parity
    bitmap leave few rows that have any partner.
-4. Verify: only those classes' sets are made again from the text and compared, in the key of the first
-   word that a pair shares and nowhere else. What leaves a key is a number of links and the
+4. Verify: only those classes' sets are made again from the text. Their heads show under which keys a
+   pair's first shared word lies; there, and nowhere else, the full sets are compared. What leaves a key is a number of links and the
    earliest partner per class, never a list of pairs. Crowded keys are split into block pairs.
 """
 
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import words as w
+from llm.sets import PackedSets, split_crowds, whole_keys
 from llm.store import BROADCAST_ROWS, drop, partitions, sized_join, written
 
 CELL_BITS = 20
@@ -167,7 +168,7 @@ def _needed(settings: LineDedup, one: np.ndarray, two: np.ndarray) -> np.ndarray
     return -(-settings.numerator * (one + two) // (settings.numerator + settings.denominator))
 
 
-INDEXED = "key long, depth int, a long, b long, size int, place int, bits long"
+INDEXED = "key long, depth int, a long, size int, place int, bits long"
 
 
 def _indexed(settings: LineDedup, levels):
@@ -213,63 +214,46 @@ def _indexed(settings: LineDedup, levels):
                         pa.array(np.concatenate(keys).view(np.int64)),
                         pa.array((1 + (np.arange(len(at)) >= single)).astype(np.int32)),
                         pa.array(lines.a[fresh][at]),
-                        pa.array(lines.b[fresh][at]),
                         pa.array(size[at].astype(np.int32)),
                         pa.array(np.concatenate(where).astype(np.int32)),
                         pa.array(bits[at].view(np.int64)),
                     ],
-                    names=["key", "depth", "a", "b", "size", "place", "bits"],
+                    names=["key", "depth", "a", "size", "place", "bits"],
                 )
 
     return run
 
 
-def _whole_keys(batches, rows: int = 200_000):
-    """Tables of about ``rows`` rows that end where a key ends; the input is sorted by key."""
-    held: list[pa.RecordBatch] = []
-    n = 0
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        held.append(batch)
-        n += batch.num_rows
-        if n < rows:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        key = table.column("key").to_numpy()
-        last = int(np.searchsorted(key, key[-1]))
-        if last:
-            yield table.slice(0, last)
-            held, n = table.slice(last).to_batches(), table.num_rows - last
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks()
+def _near(settings: LineDedup, key, size, place, depth, bits, one, two):
+    """Of the pairs of rows, those under one key within the length filter; and of these, whether they
+    also pass the positional filter and the bitmap. Rows are sorted by key and size."""
+    near = (key[one] == key[two]) & (settings.numerator * size[two] <= settings.denominator * size[one])
+    one, two = one[near], two[near]
+    need = _needed(settings, size[one], size[two])
+    fits = depth[one] + np.minimum(size[one] - place[one], size[two] - place[two]) - 1 >= need
+    apart = np.bitwise_count(bits[one].view(np.uint64) ^ bits[two].view(np.uint64))
+    return one, two, fits & (apart <= size[one] + size[two] - 2 * need)
+
+
+def _numbers(table: pa.Table, *columns: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy().astype(np.int64) for c in columns]
 
 
 def _with_partner(settings: LineDedup):
-    """Rows (key, depth, a, b, place) that pass all filters with some row of another class under their key."""
+    """Rows that pass all filters with some row of another class under their key."""
 
     def run(batches):
-        for table in _whole_keys(batches):
-            key, a, b, bits = (table.column(c).to_numpy() for c in ("key", "a", "b", "bits"))
-            size, place, depth = (table.column(c).to_numpy().astype(np.int64) for c in ("size", "place", "depth"))
+        for table in whole_keys(batches, 200_000):
+            key, a, size, place, depth, bits = _numbers(table, "key", "a", "size", "place", "depth", "bits")
             marked = np.zeros(len(key), bool)
             one, step = np.arange(len(key) - 1), 1
             while len(one):
-                two = one + step
-                near = (key[one] == key[two]) & (settings.numerator * size[two] <= settings.denominator * size[one])
-                one, two = one[near], two[near]
-                open_ = ~(marked[one] & marked[two])
-                x, y = one[open_], two[open_]
-                need = _needed(settings, size[x], size[y])
-                fits = depth[x] + np.minimum(size[x] - place[x], size[y] - place[y]) - 1 >= need
-                fits &= (a[x] != a[y]) | (b[x] != b[y])
-                x, y, need = x[fits], y[fits], need[fits]
-                apart = np.bitwise_count(bits[x].view(np.uint64) ^ bits[y].view(np.uint64))
-                fits = apart <= size[x] + size[y] - 2 * need
-                marked[x[fits]] = marked[y[fits]] = True
+                one, two, fits = _near(settings, key, size, place, depth, bits, one, one + step)
+                fits &= a[one] != a[two]
+                marked[one[fits]] = marked[two[fits]] = True
                 step += 1
                 one = one[one + step < len(key)]
-            yield from table.select(["key", "depth", "a", "b", "place"]).filter(pa.array(marked)).to_batches()
+            yield from table.filter(pa.array(marked)).to_batches()
 
     return run
 
@@ -310,27 +294,28 @@ def _line_sets(levels):
 SMALL = 48
 
 
-class _Crowd:
-    """Rows under some keys with their token sets, and the exact comparison of pairs of them."""
+class _Crowd(PackedSets):
+    """Rows under some keys with their token sets or the heads of them."""
 
-    def __init__(self, table: pa.Table, settings: LineDedup):
-        self.settings = settings
-        self.place = table.column("place").to_numpy().astype(np.int64)
-        self.left = table.column("left").to_numpy()
-        packed = table.column("tokens").combine_chunks()
-        offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
-        self.token = np.frombuffer(packed.buffers()[2], np.uint64)
-        self.start = offsets[:-1].astype(np.int64) // 8
-        self.size = np.diff(offsets.astype(np.int64)) // 8
-        self.a, self.b = table.column("a").to_numpy(), table.column("b").to_numpy()
+    def __init__(self, table: pa.Table):
+        super().__init__(table.column("tokens"))
+        self.key, self.a, self.b, self.place, self.depth, self.left = _numbers(
+            table, "key", "a", "b", "place", "depth", "left"
+        )
+        self.apart = table.column("apart").to_numpy(zero_copy_only=False).astype(bool)
+
+    def distinct(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether a pair is of two classes and to be compared in this group."""
+        other = (self.a[x] != self.a[y]) | (self.b[x] != self.b[y])
+        return other & ((self.left[x] != self.left[y]) | ~self.apart[x])
 
     def head(self, row: int, n: int) -> np.ndarray:
-        return self.token[self.start[row] : self.start[row] + n]
+        return self.element[self.start[row] : self.start[row] + n]
 
-    def here(self, x: np.ndarray, y: np.ndarray, depth: np.ndarray) -> np.ndarray:
-        """Whether the pair shares exactly ``depth`` words before the place of the key in both."""
+    def here(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the key is the first (at depth 2: the first two) of the words that the pair shares."""
         out = np.zeros(len(x), bool)
-        px, py = self.place[x], self.place[y]
+        px, py, before = self.place[x], self.place[y], self.depth[x] - 1
         wide = np.maximum(px, py)
         for low, high in ((-1, 4), (4, 12), (12, 32)):
             chosen = np.flatnonzero((wide > low) & (wide <= high))
@@ -339,106 +324,89 @@ class _Crowd:
                 cols = np.arange(high)
                 both = []
                 for rows, places in ((x[part], px[part]), (y[part], py[part])):
-                    at = np.minimum(self.start[rows][:, None] + cols, len(self.token) - 1)
-                    both.append((self.token[at], cols < places[:, None]))
+                    at = np.minimum(self.start[rows][:, None] + cols, len(self.element) - 1)
+                    both.append((self.element[at], cols < places[:, None]))
                 for i in range(high):
                     same = (both[0][0][:, i, None] == both[1][0]) & both[1][1]
                     shared += (same.any(axis=1) & both[0][1][:, i]).astype(np.int64)
-                out[part] = shared == depth[part]
+                out[part] = shared == before[part]
         for k in np.flatnonzero(wide > 32):
             shared = len(np.intersect1d(self.head(x[k], px[k]), self.head(y[k], py[k]), assume_unique=True))
-            out[k] = shared == depth[k]
+            out[k] = shared == before[k]
         return out
 
-    def matching(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether the pairs reach the similarity, by merging their sets."""
-        out = np.zeros(len(x), bool)
-        part = np.cumsum(self.size[x] + self.size[y]) // 2_000_000
-        starts, counts = w.runs(part)
-        for lo, hi in zip(starts, starts + counts):
-            p = slice(lo, hi)
-            rows = np.concatenate([x[p], y[p]])
-            n = self.size[rows]
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[rows], n)
-            half = len(rows) // 2
-            pair = np.repeat(np.r_[np.arange(half), np.arange(half)], n)
-            token = self.token[at]
-            order = w.sort_in_groups(pair, token)
-            pair, token = pair[order], token[order]
-            twice = np.flatnonzero((pair[1:] == pair[:-1]) & (token[1:] == token[:-1]))
-            shared = np.bincount(pair[twice], minlength=half)
-            out[p] = shared >= _needed(self.settings, self.size[x[p]], self.size[y[p]])
-        return out
 
-    def blockwise(self, rows: np.ndarray):
-        """Matching pairs among many rows, from products of incidence matrices of two blocks at a time."""
-        blocks = np.array_split(rows, -(-len(rows) // 512))
-        for i, one in enumerate(blocks):
-            for two in blocks[i:]:
-                both = np.concatenate([one, two])
-                n = self.size[both]
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[both], n)
-                owner = np.repeat(np.arange(len(both)), n)
-                shared = np.zeros((len(one), len(two)), np.float32)
-                known, column = np.unique(self.token[at], return_inverse=True)
-                for low in range(0, len(known), 16_384):
-                    inside = (column >= low) & (column < low + 16_384)
-                    present = np.zeros((len(both), min(16_384, len(known) - low)), np.float32)
-                    present[owner[inside], column[inside] - low] = 1
-                    shared += present[: len(one)] @ present[len(one) :].T
-                enough = shared >= _needed(self.settings, self.size[one][:, None], self.size[two][None, :]) - 0.5
-                if two is one:
-                    enough = np.triu(enough, 1)
-                r, c = np.nonzero(enough)
-                yield one[r], two[c]
+def _owning(settings: LineDedup):
+    """Rows whose key is the place where some pair is to be verified: its first shared word(s)."""
+
+    def run(batches):
+        for table in whole_keys(batches, 50_000):
+            crowd = _Crowd(table)
+            size, bits = _numbers(table, "size", "bits")
+            marked = np.zeros(len(size), bool)
+            one, step = np.arange(len(size) - 1), 1
+            while len(one):
+                one, two, fits = _near(settings, crowd.key, size, crowd.place, crowd.depth, bits, one, one + step)
+                fits &= ~(marked[one] & marked[two])
+                x, y = one[fits], two[fits]
+                fits = crowd.distinct(x, y)
+                x, y = x[fits], y[fits]
+                fits = crowd.here(x, y)
+                marked[x[fits]] = marked[y[fits]] = True
+                step += 1
+                one = one[one + step < len(size)]
+            columns = ["key", "depth", "a", "b", "place", "left", "apart"]
+            yield from table.select(columns).filter(pa.array(marked)).to_batches()
+
+    return run
 
 
 def _verified(settings: LineDedup):
     """(a, b, n_links, id, line): links found under a key, and the earliest partner, of each row."""
 
     def run(batches):
-        for table in _whole_keys(batches, 20_000):
-            crowd = _Crowd(table, settings)
-            key = table.column("key").to_numpy()
-            depth = table.column("depth").to_numpy().astype(np.int64)
-            ids, numbers = table.column("id").to_numpy(), table.column("line").to_numpy()
+        for table in whole_keys(batches, 20_000):
+            crowd = _Crowd(table)
+            key, size = crowd.key, crowd.size
+            ids, numbers = _numbers(table, "id", "line")
             order = np.lexsort((numbers, ids))
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             links = np.zeros(len(key), np.int64)
             best = np.full(len(key), len(key), np.int64)
 
-            def note(x, y):
-                fits = (crowd.a[x] != crowd.a[y]) | (crowd.b[x] != crowd.b[y])
-                fits &= (crowd.left[x] != crowd.left[y]) | ~apart[x]
-                x, y = x[fits], y[fits]
-                fits = crowd.here(x, y, depth[x] - 1)
-                return x[fits], y[fits]
-
             def count(x, y):
                 np.add.at(links, x, 1)
                 np.add.at(links, y, 1)
                 np.minimum.at(best, x, rank[y])
                 np.minimum.at(best, y, rank[x])
 
-            apart = table.column("apart").to_numpy(zero_copy_only=False).astype(bool)
+            def owned(x, y):
+                fits = crowd.distinct(x, y)
+                x, y = x[fits], y[fits]
+                fits = crowd.here(x, y)
+                return x[fits], y[fits]
+
             starts, counts = w.runs(key)
-            few = np.repeat(counts <= SMALL, counts)
             ends = np.repeat(starts + counts, counts)
-            one, step = np.flatnonzero(few), 1
+            one, step = np.flatnonzero(np.repeat(counts <= SMALL, counts)), 1
             while len(one):
                 one = one[one + step < ends[one]]
                 x, y = one, one + step
-                fits = np.maximum(crowd.size[x], crowd.size[y]) * settings.numerator <= settings.denominator * np.minimum(
-                    crowd.size[x], crowd.size[y]
-                )
-                x, y = note(x[fits], y[fits])
-                fits = crowd.matching(x, y)
+                low, high = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+                fits = high * settings.numerator <= settings.denominator * low
+                x, y = owned(x[fits], y[fits])
+                fits = crowd.shared(x, y) >= _needed(settings, size[x], size[y])
                 count(x[fits], y[fits])
                 step += 1
             for start, n in zip(starts[counts > SMALL], counts[counts > SMALL]):
-                for x, y in crowd.blockwise(np.arange(start, start + n)):
-                    count(*note(x, y))
+                blocks = np.array_split(np.arange(start, start + n), -(-n // 512))
+                for i, first in enumerate(blocks):
+                    for second in blocks[i:]:
+                        need = _needed(settings, size[first][:, None], size[second][None, :])
+                        enough = crowd.products(first, second) >= need
+                        x, y = np.nonzero(np.triu(enough, 1) if first is second else enough)
+                        count(*owned(first[x], second[y]))
             found = np.flatnonzero(links)
             partner = order[best[found]]
             yield pa.RecordBatch.from_arrays(
@@ -447,7 +415,7 @@ def _verified(settings: LineDedup):
                     pa.array(crowd.b[found]),
                     pa.array(links[found]),
                     pa.array(ids[partner]),
-                    pa.array(numbers[partner]),
+                    pa.array(numbers[partner].astype(np.int32)),
                 ],
                 names=["a", "b", "n_links", "id", "line"],
             )
@@ -460,40 +428,29 @@ def _links(texts: DataFrame, survey: DataFrame, classes: DataFrame, settings: Li
     spark = texts.sparkSession
     levels = spark.sparkContext.broadcast(_levels(survey))
     index = texts.mapInArrow(_indexed(settings, levels), INDEXED)
+    many = partitions(spark)
     marked = written(
-        index.repartition(partitions(spark), "key")
-        .sortWithinPartitions("key", "size", "a", "b")
-        .mapInArrow(_with_partner(settings), "key long, depth int, a long, b long, place int"),
+        index.repartition(many, "key").sortWithinPartitions("key", "size", "a").mapInArrow(_with_partner(settings), INDEXED),
         "marked",
     )
     concerned = written(
-        classes.join(marked.select("a", "b").distinct(), ["a", "b"])
-        .groupBy("id")
-        .agg(F.collect_list("line").alias("lines")),
+        classes.join(marked.select("a").distinct(), "a").groupBy("id").agg(F.collect_list("line").alias("lines")),
         "concerned",
     )
     sets = written(sized_join(texts, concerned, ["id"], "inner").mapInArrow(_line_sets(levels), SETS), "sets")
-    rows = marked.distinct()
-    crowded = written(rows.groupBy("key").count().where(F.col("count") > settings.block_rows), "crowded")
-    block = F.pmod(F.xxhash64("a", "b"), F.col("blocks"))
-    dealt = (
-        sized_join(rows, crowded, ["key"], "left")
-        .withColumn("blocks", F.coalesce(F.ceil(F.col("count") / settings.block_rows), F.lit(1)).cast("long"))
-        .withColumn("left", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .withColumn(
-            "key",
-            F.when(F.col("blocks") == 1, F.col("key")).otherwise(
-                F.xxhash64("key", F.least("left", "other"), F.greatest("left", "other"))
-            ),
-        )
-        .withColumn("apart", F.col("other") != F.col("left"))
-        .drop("count", "blocks", "other")
+    heads = sets.join(marked.distinct(), "a").select(
+        "key", "depth", "a", "b", "size", "place", "bits", F.expr("substring(tokens, 1, 8 * (place + 1))").alias("tokens")
+    )
+    owners = written(
+        split_crowds(heads, settings.block_rows, "a", "b", of=marked.distinct())
+        .repartition(many, "key")
+        .sortWithinPartitions("key", "size")
+        .mapInArrow(_owning(settings), "key long, depth int, a long, b long, place int, left long, apart boolean"),
+        "owners",
     )
-    # A block's own group is apart from none of its rows; in a group of two blocks all rows are apart.
     found = (
-        dealt.join(sets, ["a", "b"])
-        .repartition(partitions(spark), "key")
+        owners.join(sets, ["a", "b"])
+        .repartition(many, "key")
         .sortWithinPartitions("key")
         .mapInArrow(_verified(settings), "a long, b long, n_links long, id long, line int")
     )
@@ -503,7 +460,7 @@ def _links(texts: DataFrame, survey: DataFrame, classes: DataFrame, settings: Li
         ),
         "links",
     )
-    drop(spark, marked, concerned, sets, crowded)
+    drop(spark, marked, concerned, sets, owners)
     return links
 
 
