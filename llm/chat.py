@@ -35,7 +35,7 @@ def conversations_of(turns: DataFrame, by: list[str]) -> DataFrame:
 
     A conversation becomes one row here, because its rendering is one value; it is as large as that.
     """
-    turn = F.struct(F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    turn = F.struct(*[F.col(c).cast(kind).alias(c) for c, kind in (("turn", "long"), ("role", "string"), ("text", "string"))])
     return turns.groupBy(*by).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
 

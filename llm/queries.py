@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import decontaminate, line_dedup, minhash, packing, quality, token_files
+from llm import chat, decontaminate, line_dedup, minhash, packing, quality, sharding, token_files
 
 QUERIES = {
     **line_dedup.QUERIES,
@@ -10,5 +10,7 @@ QUERIES = {
     **quality.QUERIES,
     **packing.QUERIES,
     **token_files.QUERIES,
+    **chat.QUERIES,
+    **sharding.QUERIES,
     **minhash.QUERIES,
 }
