@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from llm import chat, decontaminate, line_dedup, minhash, packing, quality, sharding, token_files
+from llm import chat, decontaminate, html_text, line_dedup, minhash, packing, quality, sharding, token_files
 
 QUERIES = {
     **line_dedup.QUERIES,
+    **html_text.QUERIES,
     **decontaminate.QUERIES,
     **quality.QUERIES,
     **packing.QUERIES,
