@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from llm import chat, decontaminate, html_text, line_dedup, minhash, packing, quality, sharding, token_files
+from llm import chat, decontaminate, html_text, line_dedup, minhash, packing, ppm, quality, sharding, token_files
 
 QUERIES = {
     **line_dedup.QUERIES,
     **html_text.QUERIES,
+    **ppm.QUERIES,
     **decontaminate.QUERIES,
     **quality.QUERIES,
     **packing.QUERIES,
