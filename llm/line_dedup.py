@@ -11,8 +11,8 @@ of every matching pair the later line (by document id, then line number) goes.
    prefix, in that order. Words of more than ``hot_count`` occurrences are filed together with the
    next common word instead: a matching pair shares at least two, so nothing is lost, and one
    frequent word gathers no crowd.
-3. Filter: within a key, sorted by size, the length and positional filters and a 64-bit parity
-   bitmap leave few rows that have any partner.
+3. Filter: within a key, sorted by size, the length and positional filters and parity bitmaps leave
+   few rows that have any partner.
 4. Verify: only those classes' sets are made again from the text. Their heads show under which keys a
    pair's first shared word lies; there, and nowhere else, the full sets are compared. What leaves a key is a number of links and the
    earliest partner per class, never a list of pairs. Crowded keys are split into block pairs.
@@ -35,6 +35,8 @@ CELL_BITS = 20
 CELLS = 1 << CELL_BITS
 BLOCKS = 64
 LEVEL_BITS = 6
+KEY_BITS = 40  # of a word that rows are brought together by; that the words agree is seen to later
+WIDE = 77  # words beyond which a line has four 64-bit bitmaps
 
 
 @dataclass(frozen=True)
@@ -168,7 +170,8 @@ def _needed(settings: LineDedup, one: np.ndarray, two: np.ndarray) -> np.ndarray
     return -(-settings.numerator * (one + two) // (settings.numerator + settings.denominator))
 
 
-INDEXED = "key long, depth int, a long, size int, place int, bits long"
+BITS = ["bits", "bits_1", "bits_2", "bits_3"]
+INDEXED = "key long, depth int, a long, size int, place int, bits long, bits_1 long, bits_2 long, bits_3 long"
 
 
 def _indexed(settings: LineDedup, levels):
@@ -188,8 +191,12 @@ def _indexed(settings: LineDedup, levels):
                 starts, size = w.runs(owner)
                 if not len(starts):
                     continue
-                bit = np.uint64(1) << (w.mix(token) >> np.uint64(58))
-                bits = np.bitwise_xor.reduceat(bit, starts)
+                spot = w.mix(token)
+                bit = np.uint64(1) << (spot >> np.uint64(58))
+                bits = [np.bitwise_xor.reduceat(bit, starts)]
+                quarter = np.where(np.repeat(size > WIDE, size), spot & np.uint64(3), np.uint64(0))
+                for k in (1, 2, 3):
+                    bits.append(np.bitwise_xor.reduceat(np.where(quarter == k, bit, np.uint64(0)), starts))
                 place = np.arange(len(token)) - np.repeat(starts, size)
                 each = np.repeat(size, size)
                 in_prefix = place <= each - _least_overlap(settings, each)
@@ -211,28 +218,40 @@ def _indexed(settings: LineDedup, levels):
                 at = np.concatenate(at)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate(keys).view(np.int64)),
+                        pa.array((np.concatenate(keys) >> np.uint64(64 - KEY_BITS)).view(np.int64)),
                         pa.array((1 + (np.arange(len(at)) >= single)).astype(np.int32)),
                         pa.array(lines.a[fresh][at]),
                         pa.array(size[at].astype(np.int32)),
                         pa.array(np.concatenate(where).astype(np.int32)),
-                        pa.array(bits[at].view(np.int64)),
+                        *(pa.array(x[at].view(np.int64)) for x in bits),
                     ],
-                    names=["key", "depth", "a", "size", "place", "bits"],
+                    names=["key", "depth", "a", "size", "place", *BITS],
                 )
 
     return run
 
 
-def _near(settings: LineDedup, key, size, place, depth, bits, one, two):
-    """Of the pairs of rows, those under one key within the length filter; and of these, whether they
-    also pass the positional filter and the bitmap. Rows are sorted by key and size."""
+def _near(settings: LineDedup, key, size, place, depth, bits, one, step):
+    """The rows that still have a neighbour at this distance under their key within the length filter
+    (rows are sorted by key and size), and the pairs that also pass the positional filter and the bitmaps."""
+    two = one + step
     near = (key[one] == key[two]) & (settings.numerator * size[two] <= settings.denominator * size[one])
-    one, two = one[near], two[near]
+    open_ = one[near]
+    return open_, *_filtered(settings, size, place, depth, bits, open_, open_ + step)
+
+
+def _filtered(settings: LineDedup, size, place, depth, bits, one, two):
     need = _needed(settings, size[one], size[two])
     fits = depth[one] + np.minimum(size[one] - place[one], size[two] - place[two]) - 1 >= need
-    apart = np.bitwise_count(bits[one].view(np.uint64) ^ bits[two].view(np.uint64))
-    return one, two, fits & (apart <= size[one] + size[two] - 2 * need)
+    one, two, need = one[fits], two[fits], need[fits]
+    most = size[one] + size[two] - 2 * need
+    folded = bits[0][one] ^ bits[0][two]
+    fits = np.bitwise_count(folded) <= most
+    wide = np.flatnonzero(fits & (size[one] > WIDE) & (size[two] > WIDE))
+    parts = [x[one[wide]] ^ x[two[wide]] for x in bits[1:]]
+    parts.append(folded[wide] ^ parts[0] ^ parts[1] ^ parts[2])
+    fits[wide] = sum(np.bitwise_count(x).astype(np.int64) for x in parts) <= most[wide]
+    return one[fits], two[fits]
 
 
 def _numbers(table: pa.Table, *columns: str) -> list[np.ndarray]:
@@ -244,13 +263,14 @@ def _with_partner(settings: LineDedup):
 
     def run(batches):
         for table in whole_keys(batches, 200_000):
-            key, a, size, place, depth, bits = _numbers(table, "key", "a", "size", "place", "depth", "bits")
+            key, a, size, place, depth = _numbers(table, "key", "a", "size", "place", "depth")
+            bits = [x.view(np.uint64) for x in _numbers(table, *BITS)]
             marked = np.zeros(len(key), bool)
             one, step = np.arange(len(key) - 1), 1
             while len(one):
-                one, two, fits = _near(settings, key, size, place, depth, bits, one, one + step)
-                fits &= a[one] != a[two]
-                marked[one[fits]] = marked[two[fits]] = True
+                one, x, y = _near(settings, key, size, place, depth, bits, one, step)
+                fits = a[x] != a[y]
+                marked[x[fits]] = marked[y[fits]] = True
                 step += 1
                 one = one[one + step < len(key)]
             yield from table.filter(pa.array(marked)).to_batches()
@@ -333,7 +353,7 @@ class _Crowd(PackedSets):
         for k in np.flatnonzero(wide > 32):
             shared = len(np.intersect1d(self.head(x[k], px[k]), self.head(y[k], py[k]), assume_unique=True))
             out[k] = shared == before[k]
-        return out
+        return out & (self.element[self.start[x] + px] == self.element[self.start[y] + py])
 
 
 def _owning(settings: LineDedup):
@@ -342,14 +362,13 @@ def _owning(settings: LineDedup):
     def run(batches):
         for table in whole_keys(batches, 50_000):
             crowd = _Crowd(table)
-            size, bits = _numbers(table, "size", "bits")
+            size = _numbers(table, "size")[0]
+            bits = [x.view(np.uint64) for x in _numbers(table, *BITS)]
             marked = np.zeros(len(size), bool)
             one, step = np.arange(len(size) - 1), 1
             while len(one):
-                one, two, fits = _near(settings, crowd.key, size, crowd.place, crowd.depth, bits, one, one + step)
-                fits &= ~(marked[one] & marked[two])
-                x, y = one[fits], two[fits]
-                fits = crowd.distinct(x, y)
+                one, x, y = _near(settings, crowd.key, size, crowd.place, crowd.depth, bits, one, step)
+                fits = crowd.distinct(x, y) & ~(marked[x] & marked[y])
                 x, y = x[fits], y[fits]
                 fits = crowd.here(x, y)
                 marked[x[fits]] = marked[y[fits]] = True
@@ -439,7 +458,7 @@ def _links(texts: DataFrame, survey: DataFrame, classes: DataFrame, settings: Li
     )
     sets = written(sized_join(texts, concerned, ["id"], "inner").mapInArrow(_line_sets(levels), SETS), "sets")
     heads = sets.join(marked.distinct(), "a").select(
-        "key", "depth", "a", "b", "size", "place", "bits", F.expr("substring(tokens, 1, 8 * (place + 1))").alias("tokens")
+        "key", "depth", "a", "b", "size", "place", *BITS, F.expr("substring(tokens, 1, 8 * (place + 1))").alias("tokens")
     )
     owners = written(
         split_crowds(heads, settings.block_rows, "a", "b", of=marked.distinct())
