@@ -584,9 +584,14 @@ def dedup_lines(
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """The documents without repeated lines; ``n_chars`` follows the text."""
+    """The documents without repeated lines; ``n_chars`` follows the text.
+
+    A document that has lost lines and has no word left goes: all it said is said by earlier ones.
+    """
     columns = docs.columns
     out = dedup_lines(docs)
+    lost = F.exists(F.coalesce("matched_lines", F.array().cast(LINES)), lambda x: x["removed"])
+    out = out.where(~(lost & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*columns)
