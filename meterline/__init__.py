@@ -1,12 +1,12 @@
 """Meter session analytics on PySpark.
 
-Every operator takes and returns a lazy DataFrame; nothing is collected except
-bounded summaries that are named as such where they occur.
+Every operator takes and returns a DataFrame. Building one runs jobs where rows are counted or written
+once for several readers; nothing is collected except bounded summaries, named where they occur.
 """
 
 from meterline.operators.despike import remove_spikes
 from meterline.operators.duplicates import timestamp_issue
-from meterline.operators.extend import addtoevent_beginning, addtoevent_ending
+from meterline.operators.extend import addtoevent_beginning, addtoevent_ending, residual_minutes
 from meterline.operators.gaps import gap_energy_total, gaps_to_next
 from meterline.operators.sessions import cooking_event, event_conditions
 from meterline.operators.slices import period
@@ -37,6 +37,7 @@ __all__ = [
     "only_events",
     "period",
     "remove_spikes",
+    "residual_minutes",
     "session_pipeline",
     "timestamp_issue",
 ]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterline.functions.exprs import ne
+from meterline.operators.pinning import pin
 from meterline.operators.sessions import event_group
 from meterline.operators.timeline import Frame, Layout
 from meterline.params import EFFECTIVE, Params, Profile, Scale
@@ -64,8 +65,11 @@ def drop_frame(frame: Frame, profile: Profile) -> Frame:
     stamps = flagged[0]
     for more in flagged[1:]:
         stamps = stamps.unionByName(more)
-    # No hint: the optimizer broadcasts the timestamps only if their measured size allows it.
-    return frame.map(lambda df, _: df.join(stamps.distinct(), TS, "left_anti")).arrange()
+    # Counted first: an estimate would come from the whole frame and shuffle all of it by time.
+    stamps = pin(stamps.distinct())
+    if stamps.count() <= frame.scale.scan_rows:
+        stamps = F.broadcast(stamps)
+    return frame.map(lambda df, _: df.join(stamps, TS, "left_anti")).arrange()
 
 
 def timestamp_issue(

@@ -21,8 +21,11 @@ def gaps_to_next(df: DataFrame, scale: Scale = Scale()) -> DataFrame:
 
 
 def gap_energy_total(df: DataFrame, profile: Profile = EFFECTIVE) -> DataFrame:
-    """Total energy in positive gaps behind events."""
+    """Total energy in positive gaps behind events; added rows repeat the gap of the row they extend."""
     gap = F.col("energy_gap_to_next")
+    for added in ("end_added", "start_added"):
+        if added in df.columns:
+            df = df.filter(F.coalesce(F.col(added), F.lit(0)) == 0)
     return df.filter(gap > profile.min_gap).agg(F.sum(gap).alias("energy_gap_total"))
 
 

@@ -80,10 +80,7 @@ def add_context(frame: Frame, profile: Profile) -> Frame:
         context = context.withColumns({n: nothing[n] for n in ("_carried_load_ts", "_carried_loads")})
     if not profile.diff_crosses_meters:
         context = context.withColumn("_carried_energy", nothing["_carried_energy"])
-    # One context row per meter: broadcast while that is few, co-partitioned join above.
-    if size <= frame.scale.scan_rows:
-        context = F.broadcast(context)
-    return frame.map(lambda df, _: df.join(context, METER))
+    return frame.join_meters(context, size)
 
 
 def add_load_instances(df: DataFrame, layout: Layout) -> DataFrame:
@@ -198,12 +195,11 @@ def add_durations(df: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def event_offsets(starts: DataFrame, scale: Scale) -> DataFrame:
-    """Events of all meters before each meter, from one ``starts`` row per meter."""
+def event_offsets(starts: DataFrame, scale: Scale) -> tuple[DataFrame, int]:
+    """Events of all meters before each meter, from one ``starts`` row per meter; and their number."""
     starts = pin(starts)
     size = starts.count()
-    offsets = exclusive_scan(starts, ["starts"], [], size, scale.scan_rows)
-    return F.broadcast(offsets) if size <= scale.scan_rows else offsets
+    return exclusive_scan(starts, ["starts"], [], size, scale.scan_rows), size
 
 
 def number_events(frame: Frame) -> Frame:
@@ -213,9 +209,9 @@ def number_events(frame: Frame) -> Frame:
         p.df.groupBy(METER).agg(F.sum(F.col(START).cast("bigint")).alias("starts"))
         for p in frame.parts
     ]
-    offsets = event_offsets(reduce(DataFrame.unionByName, counts), frame.scale)
-    return frame.map(
-        lambda df, _: df.join(offsets, METER)
+    offsets, size = event_offsets(reduce(DataFrame.unionByName, counts), frame.scale)
+    return frame.join_meters(offsets, size).map(
+        lambda df, _: df
         .withColumns({n: F.col(n) + F.col("before_starts") for n in (RAW_EVENT, EVENT)})
         .drop("before_starts")
     )
@@ -279,15 +275,49 @@ def prepare(df: DataFrame, profile: Profile) -> DataFrame:
     return shift_zone(df, profile)
 
 
+def metered(df: DataFrame) -> DataFrame:
+    return df.filter(F.col(METER).isNotNull())
+
+
+def with_unmetered(done: DataFrame, df: DataFrame) -> DataFrame:
+    """Add the rows of ``df`` without a meter number to the processed ones.
+
+    Such a row has no neighbour of its own meter: it starts an event, ends none, and the event of one
+    row gains nothing, so it has no lasting event; columns that need other rows are null.
+    """
+    own = {START: F.lit(True), END: F.lit(False)}
+    if "time_start" in done.columns:
+        own |= {
+            "time_start": F.col(TS),
+            "time_end": F.col(TS),
+            "energy_start": F.col("energy"),
+            "energy_end": F.col("energy"),
+        }
+    unmetered = df.filter(F.col(METER).isNull())
+    given = [c for c in unmetered.columns if c in done.columns and c not in own]
+    columns = [
+        (own[c] if c in own else F.col(c) if c in given else F.lit(None))
+        .cast(done.schema[c].dataType)
+        .alias(c)
+        for c in done.columns
+    ]
+    return done.unionByName(unmetered.select(*columns))
+
+
 def cooking_event(
     df: DataFrame,
     params: Params = Params(),
     profile: Profile = EFFECTIVE,
     scale: Scale = Scale(),
 ) -> DataFrame:
-    """Readings with their session columns; rows outside any kept event have a null event."""
-    frame = Frame.split(prepare(df, profile), scale)
-    return session_frame(frame, params, profile).union()
+    """Readings with their session columns; rows outside any kept event have a null event.
+
+    Rows without a meter number stay, without a lasting event.
+    """
+    prepared = prepare(df, profile)
+    frame = Frame.split(metered(prepared), scale)
+    done = session_frame(frame, params, profile).union()
+    return with_unmetered(done, prepared.drop(*_stale(profile)))
 
 
 def event_conditions(
@@ -296,7 +326,8 @@ def event_conditions(
     profile: Profile = EFFECTIVE,
     scale: Scale = Scale(),
 ) -> DataFrame:
-    """Readings with loads and start/end flags only."""
+    """Readings with loads and start/end flags only; rows without a meter number stay."""
     require(df, METER, TS, "id", "energy", "power")
-    frame = flag_frame(Frame.split(df, scale), params, profile)
-    return frame.map(lambda rows, _: rows.drop(*HELPERS)).union()
+    frame = flag_frame(Frame.split(metered(df), scale), params, profile)
+    done = frame.map(lambda rows, _: rows.drop(*HELPERS)).union()
+    return with_unmetered(done, df)

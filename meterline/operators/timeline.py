@@ -210,6 +210,7 @@ class Frame:
 
     parts: tuple[Part, ...]
     scale: Scale
+    hot: DataFrame | None = None  # the heavy meters, at most ``max_hot_meters`` rows
 
     @staticmethod
     def split(df: DataFrame, scale: Scale) -> Frame:
@@ -232,6 +233,7 @@ class Frame:
                 Part(long, replace(layout, strip_rows=scale.strip_rows)),
             ),
             scale,
+            hot,
         ).arrange()
 
     @staticmethod
@@ -252,23 +254,38 @@ class Frame:
             length = self.scale.strip_rows
             df = df.withColumn(STRIP, F.floor(F.col(POS) / F.lit(length)))
             placed.append(Part(df, replace(part.layout, order=(POS,))))
-        return Frame(tuple(placed), self.scale)
+        return replace(self, parts=tuple(placed))
 
     def by_event(self, event: str) -> Frame:
         """Order by event number first. Same rows in the same order as long as numbers rise
         with time, but event and meter windows then share one sort."""
-        return Frame(
-            tuple(
+        return replace(
+            self,
+            parts=tuple(
                 p
                 if p.layout.striped
                 else Part(p.df, replace(p.layout, order=(event, *p.layout.order)))
                 for p in self.parts
             ),
-            self.scale,
         )
 
     def map(self, work: Callable[[DataFrame, Layout], DataFrame]) -> Frame:
-        return Frame(tuple(Part(work(p.df, p.layout), p.layout) for p in self.parts), self.scale)
+        return replace(self, parts=tuple(Part(work(p.df, p.layout), p.layout) for p in self.parts))
+
+    def join_meters(self, context: DataFrame, size: int) -> Frame:
+        """Attach one row per meter, ``size`` rows in all.
+
+        Broadcast while that is few. Above, ordinary parts are joined by meter; the strips of heavy
+        meters get the rows of those meters alone, which are few by construction, so that a heavy
+        meter never meets in one task.
+        """
+        if size <= self.scale.scan_rows:
+            few = F.broadcast(context)
+            return self.map(lambda df, _: df.join(few, METER))
+        if self.hot is None:
+            return self.map(lambda df, _: df.join(context, METER))
+        heavy = F.broadcast(context.join(F.broadcast(self.hot), METER, "left_semi"))
+        return self.map(lambda df, layout: df.join(heavy if layout.striped else context, METER))
 
     def pin(self) -> Frame:
         return self.map(lambda df, _: pin(df))

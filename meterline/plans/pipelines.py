@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from meterline.operators.despike import despike_frame
 from meterline.operators.duplicates import drop_frame, flag_frame
 from meterline.operators.extend import extend_beginning_frame, extend_ending_frame
-from meterline.operators.sessions import RAW_EVENT, prepare, session_frame
+from meterline.operators.sessions import RAW_EVENT, metered, prepare, session_frame, with_unmetered
 from meterline.operators.slices import period
 from meterline.operators.summary import event_table, only_events
 from meterline.operators.timeline import Frame
@@ -24,8 +24,11 @@ DEFINITION_PARAMS = Params(power_mean_min=0.1)
 
 
 def _clean_frame(readings: DataFrame, params: Params, profile: Profile, scale: Scale) -> Frame:
-    """Spikes repaired; the zone shift moves all rows alike, so it may come first."""
-    return despike_frame(Frame.split(prepare(readings, profile), scale), params, profile)
+    """Spikes repaired; the zone shift moves all rows alike, so it may come first.
+
+    Readings without a meter number have no event and are left to ``with_unmetered``.
+    """
+    return despike_frame(Frame.split(metered(prepare(readings, profile)), scale), params, profile)
 
 
 def _extended(frame: Frame, params: Params, profile: Profile, numbered: bool) -> Frame:
@@ -44,7 +47,8 @@ def extended_sessions(
 ) -> DataFrame:
     """Sessions after duplicate removal and extension at both ends, in one pass."""
     frame = _clean_frame(readings, params, profile, scale)
-    return _extended(frame, params, profile, numbered=True).union()
+    done = _extended(frame, params, profile, numbered=True).union()
+    return with_unmetered(done, prepare(readings, profile))
 
 
 def session_pipeline(
@@ -56,7 +60,8 @@ def session_pipeline(
     """Sessions of the extended readings, found in a second pass."""
     frame = _clean_frame(readings, params, profile, scale)
     frame = _extended(frame, params, profile, numbered=False)
-    return session_frame(frame, params, profile).union()
+    done = session_frame(frame, params, profile).union()
+    return with_unmetered(done, prepare(readings, profile))
 
 
 def event_pipeline(
@@ -97,10 +102,10 @@ def definition_sessions(
     scale: Scale = Scale(),
 ) -> DataFrame:
     """Sessions by the older definition, in which an event may run on into the next meter."""
-    frame = despike_frame(Frame.split(prepare(readings, profile), scale), params, profile)
-    frame = Frame.stacked(frame.union(), scale)
+    frame = Frame.stacked(_clean_frame(readings, params, profile, scale).union(), scale)
     frame = session_frame(frame, params, profile)
-    return drop_frame(flag_frame(frame, params, profile), profile).union()
+    done = drop_frame(flag_frame(frame, params, profile), profile).union()
+    return with_unmetered(done, prepare(readings, profile))
 
 
 def definition_pipeline(

@@ -30,7 +30,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = READINGS) ->
     """Comma-separated readings with a header, matched by column name.
 
     The schema is declared, so nothing is scanned to infer it; columns the file lacks are left
-    out. Unparsable numbers become null.
+    out. Unparsable numbers become null. All files of a folder must have the columns of the first in
+    the same order; reading fails on one that has not.
     """
     present = spark.read.option("header", True).csv(path).columns  # reads the header only
     known = {field.name: field for field in schema.fields}
@@ -39,6 +40,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = READINGS) ->
     )
     return normalise(
         spark.read.option("header", True)
+        .option("enforceSchema", False)
         .option("timestampNTZFormat", CSV_TIMESTAMP)
         .csv(path, schema=declared)
     )
