@@ -279,7 +279,7 @@ def _scored(model, head):
                 owner, word, n = _counted_words(text)
                 at, has = Model._find(known, word)
                 size = len(text.first)
-                log_sum = np.bincount(owner[has], n[has] * logs[at[has]], size)
+                log_sum = np.bincount(owner[has], n[has] * logs[at[has]], size).astype(np.float64)
                 n_known = np.bincount(owner[has], n[has], size).astype(np.int64)
                 owner, word, n = owner[~has], word[~has], n[~has]
                 tail = pa.StructArray.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], fields=list(kind))

@@ -214,11 +214,12 @@ def judged(docs: DataFrame, text_column: str = "text", rules: LineRules = LineRu
 
 def keep_good(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The documents that pass, with their cleaned texts; ``n_chars`` follows the text."""
-    out = judged(docs, rules=rules)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"), "text")
+    out = judged(whole, rules=rules)
     new = {"text": F.col("cleaned")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("cleaned").cast(docs.schema["n_chars"].dataType)
-    row = F.struct(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    row = F.struct(*[new.get(c, F.col("_whole")[c]).alias(c) for c in docs.columns])
     # As a filter this would be moved below the projections and work out all measures again for each use.
     return out.select(F.inline(F.when(F.col("kept"), F.array(row))))
 
