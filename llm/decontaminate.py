@@ -303,8 +303,12 @@ def flagged(docs: DataFrame, benchmark: DataFrame, settings: Decontamination = D
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, settings: Decontamination = Decontamination()) -> DataFrame:
-    """The documents without any occurrence of an item."""
-    return flagged(docs, benchmark, settings).where("not contaminated").select(*docs.columns)
+    """The documents without any occurrence of an item; all their columns stay as they are."""
+    found = written(
+        occurrences(docs, benchmark, settings=settings).select(F.col("id").alias("_found_id")).distinct(), "found"
+    )
+    small = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    return docs.join(small, docs["doc_id"].cast("long") == small["_found_id"], "left_anti")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
