@@ -104,7 +104,9 @@ def event_table(frame: Frame, params: Params, profile: Profile) -> DataFrame:
 
     events = pin(reduce(DataFrame.unionByName, [measure(p.df) for p in frame.parts]))
     starts = events.groupBy(METER).agg(F.count("*").alias("starts"))
-    offsets = event_offsets(starts, frame.scale)
+    offsets, size = event_offsets(starts, frame.scale)
+    if size <= frame.scale.scan_rows:
+        offsets = F.broadcast(offsets)
     events = (
         events.filter("_kept")
         .join(offsets, METER)
