@@ -33,7 +33,7 @@ HEADLINES = [
 def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = (
         configure(SparkSession.builder)
         .master(f"local[{cpus}]")

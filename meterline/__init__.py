@@ -8,6 +8,7 @@ from meterline.operators.despike import remove_spikes
 from meterline.operators.duplicates import timestamp_issue
 from meterline.operators.extend import addtoevent_beginning, addtoevent_ending, residual_minutes
 from meterline.operators.gaps import gap_energy_total, gaps_to_next
+from meterline.operators.pinning import release
 from meterline.operators.sessions import cooking_event, event_conditions
 from meterline.operators.slices import period
 from meterline.operators.summary import only_events
@@ -36,6 +37,7 @@ __all__ = [
     "notebook_pipeline",
     "only_events",
     "period",
+    "release",
     "remove_spikes",
     "residual_minutes",
     "session_pipeline",

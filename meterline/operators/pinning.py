@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
+_pinned: dict[str, list[str]] = {}  # folders by application
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the folder the session names; fall back to a temporary one in local mode only."""
@@ -29,9 +31,23 @@ def pin(df: DataFrame) -> DataFrame:
     """Materialise once, so that several branches read the same rows instead of recomputing them.
 
     A compressed table in the shared folder survives the loss of executors, and its readers scan
-    only the columns they need. The files live as long as the checkpoint folder does.
+    only the columns they need. The files stay until ``release`` or until the checkpoint folder is cleaned.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/pinned-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _pinned.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove all tables pinned so far by this application; returns how many.
+
+    DataFrames that were built with them can no longer be read, so consume or write results first.
+    """
+    context = spark.sparkContext
+    paths = _pinned.pop(context.applicationId, [])
+    for name in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)

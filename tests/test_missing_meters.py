@@ -48,3 +48,13 @@ def test_files_with_other_column_orders_are_refused(spark, tmp_path):
     (tmp_path / "b.csv").write_text("meter_number,power,energy\n1,0.2,0.5\n")
     with pytest.raises(Exception, match="header|Header|CSV"):
         read_csv(spark, str(tmp_path)).collect()
+
+
+def test_pinned_tables_can_be_released(spark):
+    from meterline.operators.pinning import pin, release
+
+    release(spark)
+    table = pin(spark.range(5))
+    assert table.count() == 5 and release(spark) == 1 and release(spark) == 0
+    with pytest.raises(Exception):
+        table.collect()
