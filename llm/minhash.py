@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from llm import words as w
 from llm.graph import components
 from llm.sets import PackedSets, split_crowds, whole_keys
-from llm.store import drop, partitions, sized_join, written
+from llm.store import BROADCAST_ROWS, drop, partitions, sized_join, written
 
 
 @dataclass(frozen=True)
@@ -348,9 +348,15 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, settings: MinHash = MinHash()) -> DataFrame:
-    """The documents without all but the first of each group of near duplicates; columns stay."""
-    kept = written(near_duplicates(docs, settings=settings).where("kept").select("doc_id"), "kept")
-    return docs.join(kept, "doc_id", "left_semi")
+    """The documents without all but the first of each group of near duplicates; columns stay.
+
+    Documents without an id are not compared and stay. Only the ids that go are joined.
+    """
+    gone = written(
+        near_duplicates(docs, settings=settings).where("not kept").select(F.col("doc_id").alias("_gone")), "gone"
+    )
+    small = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(small, docs["doc_id"].cast("long") == small["_gone"], "left_anti")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
