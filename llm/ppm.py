@@ -8,9 +8,9 @@ so on down to all 256 bytes. With s different bytes seen t times, a byte seen n
 and the escape s / (t + s) (method C); bytes that a longer context has seen are excluded from the counts
 of the shorter ones, as the escape has ruled them out.
 
-Counts cover all training texts. A node stays in the trie if its count is at least
-``least_share`` of the training bytes (one at least), so no level has more than ``1 / least_share`` nodes,
-whatever the corpus, and the broadcast model is bounded.
+Counts cover all training texts, and none is left out: the trie is one table of grams and one of contexts
+a level. The workers get the costs of the ``1 / least_share`` most frequent grams at most, whatever the
+corpus; the other grams of the texts are joined with the tables, each distinct gram once.
 """
 
 from __future__ import annotations
@@ -23,14 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import words as w
-from llm.store import drop, written
+from llm.store import BROADCAST_ROWS, drop, written
 
 BLANK, END = 0x20, 0x0A
 
 
 @dataclass(frozen=True)
 class Ppm:
-    """Settings. Words of at least ``head_share`` of the training tokens are looked up in the worker."""
+    """Settings. Words of at least ``head_share`` of the training tokens are looked up in the worker, as are
+    the most frequent grams, ``1 / least_share`` at most. Neither changes a score."""
 
     order: int = 5
     least_share: float = 2.0**-22
@@ -143,147 +144,185 @@ def _gathered(order: int):
     return run
 
 
-class Model:
-    """The trie as one sorted array of nodes a level, with what coding and escaping cost (log10)."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], order: int):
-        """``levels[k]``: the grams of k + 1 bytes, ascending, and their counts."""
-        self.order, self.gram, self.log_n = order, [], []
-        for values, counts in levels:
-            self.gram.append(values)
-            self.log_n.append(np.log10(counts.astype(np.float64)))
-        # Contexts of k bytes: how often and by how many bytes they are followed.
-        self.context, total, kinds = [], [], []
-        for values, counts in levels:
-            first = values >> np.uint64(8)
-            starts, lengths = w.runs(first)
-            self.context.append(first[starts])
-            total.append(np.add.reduceat(counts, starts) if len(starts) else np.zeros(0, np.int64))
-            kinds.append(lengths)
-        self.top, self.escape = [], []  # log10 of t + s, and of the escape, without exclusion
-        self.rest, self.fallen = [], []  # the same in the next shorter context with this one's bytes excluded, summed
-        for k, (values, counts) in enumerate(levels):
-            t, s = total[k].astype(np.float64), kinds[k].astype(np.float64)
-            self.top.append(np.log10(t + s))
-            self.escape.append(np.log10(s) - self.top[k])
-            if k == 0:
-                self.rest.append(np.zeros(len(t)))
-                self.fallen.append(np.zeros(len(t)))
-                continue
-            mask = np.uint64((1 << (8 * k)) - 1)
-            shorter = np.searchsorted(levels[k - 1][0], values & mask)
-            starts, _ = w.runs(values >> np.uint64(8))
-            excluded = np.add.reduceat(levels[k - 1][1][shorter], starts) if len(starts) else np.zeros(0, np.int64)
-            parent = np.searchsorted(self.context[k - 1], self.context[k] & np.uint64((1 << (8 * (k - 1))) - 1))
-            free = total[k - 1][parent] - excluded
-            new = kinds[k - 1][parent] - kinds[k]
-            with np.errstate(divide="ignore"):
-                self.rest.append(np.log10(np.maximum(free + new, 1)))
-                step = np.where(new > 0, np.log10(np.maximum(new, 1)) - self.rest[k], 0.0)
-            self.fallen.append(self.fallen[k - 1][parent] + step)
-        unseen = 256 - (int(kinds[0][0]) if len(kinds[0]) else 0)
-        self.uniform = -np.log10(max(unseen, 1))
-        self._index()
-
-    def _index(self) -> None:
-        """A hash table over the grams of the highest level, which most bytes are coded by."""
-        values = self.gram[self.order]
-        cost = self._slow(values)
-        self.bits = max(4, int(2 * len(values)).bit_length() + 1)
-        self.keys = np.full((1 << self.bits) + 16, np.iinfo(np.uint64).max, np.uint64)
-        self.values = np.zeros(len(self.keys), np.float64)
-        slot = self._slot(values)
-        left = np.arange(len(values))
-        for step in range(16):
-            if not len(left):
-                break
-            at = slot[left] + step
-            free = self.keys[at] == np.iinfo(np.uint64).max
-            at, mine = at[free], left[free]
-            self.keys[at] = values[mine]
-            won = self.keys[at] == values[mine]
-            self.values[at[won]] = cost[mine[won]]
-            done = np.zeros(len(values), bool)
-            done[mine[won]] = True
-            left = left[~done[left]]
-
-    def _slot(self, values: np.ndarray) -> np.ndarray:
-        return ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    @staticmethod
-    def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(table):
-            return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
-        at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-        return at, table[at] == values
-
-    def _slow(self, values: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each gram's last byte after the bytes before it."""
-        n = len(values)
-        out = np.full(n, self.uniform)
-        start = np.full(n, -1, np.int64)  # level of the longest known context
-        base = np.zeros(n)  # escape from it and sum over its chain
-        below = np.zeros(n, np.int64)  # entry of the context at the level above the one in hand
-        open_ = np.ones(n, bool)
-        for k in range(self.order, -1, -1):
-            context, has = self._find(self.context[k], (values >> np.uint64(8)) & np.uint64((1 << (8 * k)) - 1))
-            here, known = self._find(self.gram[k], values & np.uint64((1 << (8 * (k + 1))) - 1))
-            fresh = has & (start < 0)
-            start[fresh] = k
-            base[fresh] = self.escape[k][context[fresh]] + self.fallen[k][context[fresh]]
-            now = np.flatnonzero(open_ & has & known)
-            direct = now[start[now] == k]
-            out[direct] = self.log_n[k][here[direct]] - self.top[k][context[direct]]
-            late = now[start[now] > k]
-            if len(late):
-                b = below[late]
-                out[late] = base[late] - self.fallen[k + 1][b] + self.log_n[k][here[late]] - self.rest[k + 1][b]
-            open_[now] = False
-            below = context
-        still = open_ & (start >= 0)
-        out[still] = base[still] + self.uniform
-        return out
+def _masked(k: int):
+    """The last ``k`` bytes of a gram."""
+    return F.col("value").bitwiseAND(F.lit((1 << (8 * k)) - 1))
+
+
+class Trie:
+    """Tables of the grams of k + 1 bytes (value, n) and of their contexts of k bytes, k = 0 to ``order``.
 
-    def score(self, values: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each gram's last byte."""
-        out = np.empty(len(values))
-        slot = self._slot(values)
-        left = np.flatnonzero(self.keys[slot] != values)
-        out[:] = self.values[slot]
-        for step in range(1, 16):
-            if not len(left):
+    A context has what coding in it and escaping from it cost (log10): ``top`` is that of t + s, ``escape`` the
+    escape; ``rest`` is that of t + s in the next shorter context with this one's bytes excluded, ``step`` the
+    escape from there. No context has more than 256 grams, and no gram follows on more than 256 bytes, so no
+    key of the joins is hot.
+    """
+
+    def __init__(self, counts: DataFrame, order: int):
+        self.order, self.grams = order, [counts]
+        for k in range(order, 0, -1):
+            self.grams.insert(0, written(self.grams[0].groupBy(_masked(k).alias("value")).agg(F.sum("n").alias("n")), "level"))
+        self.t, self.s = self.grams[0].agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        self.uniform = -float(np.log10(max(256 - self.s, 1)))
+        self.contexts = [None]
+        for k in range(1, order + 1):
+            self.contexts.append(written(self._context_costs(k), "contexts"))
+
+    def _context_costs(self, k: int) -> DataFrame:
+        shorter = self.grams[k - 1].select(F.col("value").alias("suffix"), F.col("n").alias("n_suffix"))
+        out = (
+            self.grams[k]
+            .withColumn("suffix", _masked(k))
+            .join(shorter, "suffix")
+            .groupBy(F.shiftright("value", 8).alias("context"))
+            .agg(F.sum("n").alias("t"), F.count("*").alias("s"), F.sum("n_suffix").alias("excluded"))
+        )
+        if k == 1:
+            out = out.select("*", F.lit(self.t).alias("t_parent"), F.lit(self.s).alias("s_parent"))
+        else:
+            parents = self.contexts[k - 1].select(
+                F.col("context").alias("parent"), F.col("t").alias("t_parent"), F.col("s").alias("s_parent")
+            )
+            out = out.withColumn("parent", F.col("context").bitwiseAND(F.lit((1 << (8 * (k - 1))) - 1))).join(parents, "parent")
+        new = F.col("s_parent") - F.col("s")
+        top = F.log10((F.col("t") + F.col("s")).cast("double"))
+        rest = F.log10(F.greatest(F.col("t_parent") - F.col("excluded") + new, F.lit(1)).cast("double"))
+        return out.select(
+            "context",
+            "t",
+            "s",
+            top.alias("top"),
+            (F.log10(F.col("s").cast("double")) - top).alias("escape"),
+            rest.alias("rest"),
+            F.when(new > 0, F.log10(new.cast("double")) - rest).otherwise(0.0).alias("step"),
+        )
+
+    def _with_context(self, grams: DataFrame, k: int) -> DataFrame:
+        if k:
+            return grams.withColumn("context", F.shiftright("value", 8)).join(self.contexts[k], "context", "left")
+        known = F.lit(self.t > 0)
+        top = float(np.log10(self.t + self.s)) if self.t else 0.0
+        escape = float(np.log10(self.s)) - top if self.t else 0.0
+        return grams.select("*", F.when(known, F.lit(top)).alias("top"), F.when(known, F.lit(escape)).alias("escape"))
+
+    def frequent(self, most: float) -> DataFrame:
+        """(value, cost) of the most frequent grams of the highest level, at most ``most``."""
+        grams = self.grams[self.order].withColumn("size", F.floor(F.log2(F.col("n").cast("double")) * 8))
+        least, total = None, 0
+        for size, n in sorted(grams.groupBy("size").count().collect(), reverse=True):
+            total += n
+            if total > most:
                 break
+            least = size
+        grams = grams.where(F.col("size") >= least) if least is not None else grams.limit(0)
+        return self._with_context(grams, self.order).select(
+            "value", (F.log10(F.col("n").cast("double")) - F.col("top")).alias("cost")
+        )
+
+    def costs(self, asked: DataFrame) -> DataFrame:
+        """(value, cost) of distinct grams: log10 of the probability of the last byte after those before it."""
+        return self._answers(asked, self.order).select("value", F.col("start").alias("cost"))
+
+    def _answers(self, asked: DataFrame, k: int) -> DataFrame:
+        """(value, n, start, past): the count, and the cost in the longest known context of at most ``k`` bytes.
+
+        ``past`` is the cost after the escape from the known context of ``k`` bytes, for grams without a count.
+        """
+        met = self._with_context(asked.join(self.grams[k], "value", "left"), k)
+        n = F.log10(F.col("n").cast("double"))
+        if not k:
+            past = F.lit(self.uniform)
+            start = F.when(F.col("n").isNotNull(), n - F.col("top")).otherwise(F.coalesce("escape", F.lit(0.0)) + past)
+            return met.select("value", "n", start.alias("start"), past.alias("past"))
+        met = written(met.withColumn("suffix", _masked(k)), "met")
+        seen = met.where("n is not null").select("value", "n", (n - F.col("top")).alias("start"), F.lit(None).cast("double").alias("past"))
+        missed = met.where("n is null").drop("n")
+        below = self._answers(missed.select(F.col("suffix").alias("value")).distinct(), k - 1).select(
+            F.col("value").alias("suffix"), "n", F.col("start").alias("start_below"), F.col("past").alias("past_below")
+        )
+        past = F.when(F.col("n").isNotNull(), n - F.col("rest")).otherwise(F.col("step") + F.col("past_below"))
+        start = F.when(F.col("top").isNull(), F.col("start_below")).otherwise(F.col("escape") + past)
+        return seen.union(
+            missed.join(below, "suffix").select("value", F.lit(None).cast("long").alias("n"), start.alias("start"), past.alias("past"))
+        )
+
+
+def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return at, table[at] == values
+
+
+class Cache:
+    """A hash table of the costs of frequent grams, at most half full; a gram without a near slot is not in it."""
+
+    EMPTY = np.iinfo(np.uint64).max
+    STEPS = 16
+
+    def __init__(self, grams: np.ndarray, costs: np.ndarray, order: int):
+        self.order = order
+        self.bits = max(4, (2 * len(grams)).bit_length())
+        self.keys = np.full((1 << self.bits) + self.STEPS, self.EMPTY, np.uint64)
+        self.costs = np.zeros(len(self.keys), np.float64)
+        slot = self._slot(grams)
+        left = np.arange(len(grams))
+        for step in range(self.STEPS):
             at = slot[left] + step
-            hit = self.keys[at] == values[left]
-            out[left[hit]] = self.values[at[hit]]
-            left = left[~hit]
-        if len(left):
-            rare, back = np.unique(values[left], return_inverse=True)
-            out[left] = self._slow(rare)[back]
-        return out
+            free = self.keys[at] == self.EMPTY
+            self.keys[at[free]] = grams[left[free]]
+            won = self.keys[at] == grams[left]
+            self.costs[at[won]] = costs[left[won]]
+            left = left[~won]
+
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def look(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cost of each gram, 0 where it is missing, and the places of the missing ones."""
+        slot = self._slot(grams)
+        key = self.keys[slot]
+        out = self.costs[slot]
+        lost = key != grams
+        out[lost] = 0.0
+        missing = [np.flatnonzero(lost & (key == self.EMPTY))]
+        left = np.flatnonzero(lost & (key != self.EMPTY))
+        for step in range(1, self.STEPS):
+            at = slot[left] + step
+            key = self.keys[at]
+            hit = key == grams[left]
+            out[left[hit]] = self.costs[at[hit]]
+            missing.append(left[key == self.EMPTY])
+            left = left[~hit & (key != self.EMPTY)]
+        return out, np.concatenate([*missing, left])
+
+
+COUNTS = "array<struct<value:bigint,n:bigint>>"
+SCORED = f"doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, score double, tail {COUNTS}, grams {COUNTS}"
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, score double, tail array<struct<word:bigint,n:bigint>>"
+def _scored(frequent, head):
+    kind = pa.struct([("value", pa.int64()), ("n", pa.int64())])
 
+    def lists(owner, value, n, size):
+        rows = pa.StructArray.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], fields=list(kind))
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(size + 1)).astype(np.int32)), rows)
 
-def _scored(model, head):
     def run(batches):
-        trie, (known, logs) = model.value, head.value
-        kind = pa.struct([("word", pa.int64()), ("n", pa.int64())])
+        cache, (known, logs) = frequent.value, head.value
         for batch in batches:
             for piece in w.pieces(batch, "text"):
                 text = w.Words(piece.column("text"))
+                size = len(text.first)
                 data, starts = coded(text)
-                cost = trie.score(grams(data, starts, trie.order))
+                gram = grams(data, starts, cache.order)
+                cost, missing = cache.look(gram)
                 score = np.add.reduceat(cost, starts[:-1]) if len(starts) > 1 else np.zeros(0)
-                owner, word, n = _counted_words(text)
-                at, has = Model._find(known, word)
-                size = len(text.first)
+                rare = _counted(np.searchsorted(starts, missing, "right") - 1, gram[missing])
+                owner, word, n = _counted(text.text, text.hashes)
+                at, has = _find(known, word)
                 log_sum = np.bincount(owner[has], n[has] * logs[at[has]], size).astype(np.float64)
                 n_known = np.bincount(owner[has], n[has], size).astype(np.int64)
-                owner, word, n = owner[~has], word[~has], n[~has]
-                tail = pa.StructArray.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], fields=list(kind))
-                ends = np.searchsorted(owner, np.arange(size + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column("doc_id"),
@@ -292,48 +331,59 @@ def _scored(model, head):
                         pa.array(n_known),
                         pa.array(log_sum),
                         pa.array(score),
-                        pa.ListArray.from_arrays(pa.array(ends), tail),
+                        lists(owner[~has], word[~has], n[~has], size),
+                        lists(*rare, size),
                     ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "log_sum", "score", "tail"],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "log_sum", "score", "tail", "grams"],
                 )
 
     return run
 
 
-def _counted_words(text: w.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word, count) of the distinct words of each text."""
-    order = w.sort_in_groups(text.text, text.hashes) if len(text.hashes) else np.zeros(0, np.int64)
-    owner, word = text.text[order], text.hashes[order]
-    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (word[1:] != word[:-1])]) if len(order) else order
-    return owner[new], word[new], np.diff(np.r_[new, len(order)])
+def _counted(text: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, value, count) of the distinct values of each text."""
+    order = w.sort_in_groups(text, value) if len(value) else np.zeros(0, np.int64)
+    owner, value = text[order], value[order]
+    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])]) if len(order) else order
+    return owner[new], value[new], np.diff(np.r_[new, len(order)])
 
 
 def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(value, n) ascending by the unsigned value."""
-    table = df.select("value", "n").toArrow()
-    value, n = table.column("value").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    """The values and the other column, ascending by the unsigned value."""
+    table = df.toArrow()
+    value, other = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
     order = np.argsort(value)
-    return value[order], n[order]
+    return value[order], other[order]
 
 
-def train(texts: DataFrame, settings: Ppm = Ppm()) -> tuple[Model, DataFrame, int]:
+def train(texts: DataFrame, settings: Ppm = Ppm()) -> tuple[Trie, DataFrame, int]:
     """The trie, the table (value, n) of word counts by hash, and the number of texts, from column ``text``."""
     gathered = written(
         texts.mapInArrow(_gathered(settings.order), COUNTED).groupBy("kind", "value").agg(F.sum("n").alias("n")), "gathered"
     )
     n_texts = gathered.where(F.col("kind") == TEXTS).agg(F.sum("n")).first()[0] or 0
-    level = gathered.where(F.col("kind") == GRAM).select("value", "n")
-    n_bytes = level.agg(F.sum("n")).first()[0] or 0
-    least = max(1, settings.least_share * n_bytes)
-    levels = []
-    for k in range(settings.order, -1, -1):
-        levels.append(_arrays(level.where(F.col("n") >= least)))
-        if k:
-            level = written(
-                level.groupBy(F.col("value").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("value")).agg(F.sum("n").alias("n")),
-                "level",
-            )
-    return Model(levels[::-1], settings.order), gathered.where(F.col("kind") == WORD).select("value", "n"), n_texts
+    trie = Trie(gathered.where(F.col("kind") == GRAM).select("value", "n"), settings.order)
+    return trie, gathered.where(F.col("kind") == WORD).select("value", "n"), n_texts
+
+
+#: Grams asked for by at least this share of all (row, gram) pairs are joined by broadcast, so that no key is hot.
+HOT_SHARE = 2.0**-18
+
+
+def _gram_scores(rows: DataFrame, trie: Trie) -> DataFrame:
+    """(row, more_score): what the grams cost that were not looked up in the worker, from (row, grams)."""
+    pairs = rows.select("row", F.explode("grams").alias("g")).select("row", F.col("g.value").alias("value"), F.col("g.n").alias("times"))
+    asked = written(pairs.groupBy("value").agg(F.count("*").alias("pairs")), "asked")
+    size = asked.agg(F.count("*"), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+    costs = written(trie.costs(asked.select("value")), "costs")
+    if size[0] <= BROADCAST_ROWS:
+        priced = pairs.join(F.broadcast(costs), "value")
+    else:
+        hot = costs.join(asked.where(F.col("pairs") >= HOT_SHARE * size[1]).select("value"), "value", "left_semi")
+        tried = pairs.join(F.broadcast(hot), "value", "left")
+        rest = tried.where("cost is null").drop("cost").join(costs, "value")
+        priced = tried.where("cost is not null").unionByName(rest)
+    return priced.groupBy("row").agg(F.sum(F.col("times") * F.col("cost")).alias("more_score"))
 
 
 def score_texts(docs: DataFrame, settings: Ppm = Ppm()) -> DataFrame:
@@ -348,14 +398,15 @@ def score_texts(docs: DataFrame, settings: Ppm = Ppm()) -> DataFrame:
     trie, words, ends = train(texts.where("not held_out").select("text"), settings)
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_tokens, n_kinds = size[0] + ends, size[1] + (1 if ends else 0)
+    frequent = Cache(*_arrays(trie.frequent(1 / settings.least_share)), settings.order)
     head = _arrays(words.where(F.col("n") >= max(2, settings.head_share * n_tokens)))
     context = spark.sparkContext
     head = context.broadcast((head[0], np.log10(head[1] + 1.0)))
     rows = written(
-        texts.mapInArrow(_scored(context.broadcast(trie), head), SCORED).withColumn("row", F.monotonically_increasing_id()),
+        texts.mapInArrow(_scored(context.broadcast(frequent), head), SCORED).withColumn("row", F.monotonically_increasing_id()),
         "scored",
     )
-    rare = rows.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("value"), F.col("t.n").alias("times"))
+    rare = rows.select("row", F.explode("tail").alias("t")).select("row", F.col("t.value").alias("value"), F.col("t.n").alias("times"))
     tail = (
         rare.join(words, "value")
         .groupBy("row")
@@ -366,7 +417,9 @@ def score_texts(docs: DataFrame, settings: Ppm = Ppm()) -> DataFrame:
     )
     floor = float(np.log10(n_tokens + n_kinds + 1))
     end_log = float(np.log10(ends + 1))
-    return rows.drop("tail").join(tail, "row", "left").select(
+    more = _gram_scores(rows, trie)
+    drop(spark, *trie.grams[:-1], *trie.contexts[1:])
+    return rows.drop("tail", "grams").join(tail, "row", "left").join(more, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -375,7 +428,7 @@ def score_texts(docs: DataFrame, settings: Ppm = Ppm()) -> DataFrame:
         (F.col("log_sum") + F.coalesce("more_log", F.lit(0.0)) + F.lit(end_log) - F.col("n_tokens") * F.lit(floor)).alias(
             "base_score"
         ),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 

@@ -86,3 +86,24 @@ def test_without_training_texts_and_rows(spark):
     assert got[1]["score"] == pytest.approx(-4 * math.log10(256)) and got[1]["n_known"] == 0
     assert got[None]["score"] == pytest.approx(-math.log10(256))
     assert score_texts(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("order", [0, 1, 5])
+def test_rare_grams_count_in_full(spark, order):
+    rows = [(i, text, i % 3 == 0) for i, text in enumerate(sample(9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
+    train = [t for _, t, held in rows if not held]
+    expected = brute(train, [t for _, t, _ in rows], order)
+    for share in (0.05, 1.0):
+        got = {r["doc_id"]: r["score"] for r in score_texts(docs, Ppm(order=order, least_share=share)).collect()}
+        assert [got[i] for i, _, _ in rows] == pytest.approx(expected, abs=1e-9)
+
+
+def test_hot_grams_outside_the_head(spark, monkeypatch):
+    monkeypatch.setattr("llm.ppm.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("llm.ppm.HOT_SHARE", 0.01)
+    rows = [(i, text, i % 3 == 0) for i, text in enumerate(sample(2))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    got = {r["doc_id"]: r["score"] for r in score_texts(docs, Ppm(least_share=0.1)).collect()}
+    expected = brute([t for _, t, held in rows if not held], [t for _, t, _ in rows], 5)
+    assert [got[i] for i, _, _ in rows] == pytest.approx(expected, abs=1e-9)
