@@ -8,8 +8,10 @@ tags and classes. Its importance says how much it varies from page to page:
 * presentation: the entropy of the child sequences it has on different pages;
 * both together as ``(1 - g^s) * presentation + g^s * content`` with s different child sequences.
 
-A page loses the branches of low importance. A host with few pages says little, so its nodes take
-the importance they have over all hosts. Branches whose role is plain from the markup (menus, page
+Equal html counts as one page, on its host and over all hosts, however many rows repeat it.
+
+A page loses the branches of low importance. A node on few pages of its host says little, so it takes
+the importance it has over all hosts, and a node on a single page stays. Branches whose role is plain from the markup (menus, page
 headers and footers, forms, adverts, reader comments ...) go in any case.
 """
 
@@ -29,7 +31,7 @@ from llm.store import BROADCAST_ROWS, drop, sized_join, written
 
 @dataclass(frozen=True)
 class StyleTree:
-    """Settings: nodes below ``threshold`` go; hosts with fewer than ``few_pages`` borrow from all."""
+    """Settings: nodes below ``threshold`` go; those on fewer than ``few_pages`` of their host borrow from all."""
 
     threshold: float = 0.35
     few_pages: int = 8
@@ -184,14 +186,14 @@ def _signed(x: int) -> int:
 
 #: Kinds of facts about a node on a page: it is there, one of its texts, its child sequence.
 PRESENT, TEXT, CHILDREN = 0, 1, 2
-FACTS = "host string, node long, kind int, value long"
+FACTS = "host string, node long, kind int, value long, own double, whole double"
 
 
 def _facts(batches):
-    """(host, node, kind, value), once a page; blocks ruled out by role say nothing."""
+    """(host, node, kind, value) and the row's shares of a page, once a row; blocks ruled out by role say nothing."""
     for batch in batches:
-        hosts, nodes, kinds, values = [], [], [], []
-        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+        hosts, nodes, kinds, values, owns, wholes = [], [], [], [], [], []
+        for host, html, own, whole in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "own", "whole"))):
             page, seen = Page(html or ""), set()
             for text, path, boiler in page.blocks:
                 if boiler:
@@ -207,9 +209,18 @@ def _facts(batches):
             nodes += [_signed(x[0]) for x in seen]
             kinds += [x[1] for x in seen]
             values += [_signed(x[2]) for x in seen]
+            owns += [own] * len(seen)
+            wholes += [whole] * len(seen)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(nodes, pa.int64()), pa.array(kinds, pa.int32()), pa.array(values, pa.int64())],
-            names=["host", "node", "kind", "value"],
+            [
+                pa.array(hosts, pa.string()),
+                pa.array(nodes, pa.int64()),
+                pa.array(kinds, pa.int32()),
+                pa.array(values, pa.int64()),
+                pa.array(owns, pa.float64()),
+                pa.array(wholes, pa.float64()),
+            ],
+            names=["host", "node", "kind", "value", "own", "whole"],
         )
 
 
@@ -269,11 +280,39 @@ def _text_without(batches):
         )
 
 
+#: Rows of one (host, html) are dealt to so many keys where their copies are not broadcast.
+SALTS = 64
+
+
+def _weighted(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, html, own, whole) and the table behind it: a row's share of its page, on its host and over all hosts."""
+    keyed = pages.withColumn("digest", F.xxhash64("html"))
+    groups = written(keyed.groupBy("host", "digest").agg(F.count("*").alias("rows")), "pages")
+    alike = groups.groupBy("digest").agg(F.sum("rows").alias("all_rows")).where("all_rows > 1")
+    copies = written(
+        groups.join(alike, "digest").select("host", "digest", (1 / F.col("rows")).alias("own"), (1 / F.col("all_rows")).alias("whole")),
+        "copies",
+    )
+    drop(pages.sparkSession, groups)
+    if copies.count() <= BROADCAST_ROWS:
+        joined = keyed.join(F.broadcast(copies), ["host", "digest"], "left")
+    else:
+        salted = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn("salt", F.monotonically_increasing_id() % SALTS).join(salted, ["host", "digest", "salt"], "left")
+    one = F.lit(1.0)
+    return joined.select("host", "html", F.coalesce("own", one).alias("own"), F.coalesce("whole", one).alias("whole")), copies
+
+
 def low_nodes(pages: DataFrame, settings: StyleTree = StyleTree()) -> DataFrame:
     """(host, node) of the low-importance nodes of each host's tree, from (host, html)."""
-    counts = pages.mapInArrow(_facts, FACTS).groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n"))
+    weighted, copies = _weighted(pages)
+    counts = weighted.mapInArrow(_facts, FACTS).groupBy("host", "node", "kind", "value").agg(
+        F.round(F.sum("own")).cast("long").alias("n"), F.sum("whole").alias("whole")
+    )
     counts = written(counts, "facts")
-    everywhere = _importance(counts.groupBy("node", "kind", "value").agg(F.sum("n").alias("n")), ["node"], settings)
+    drop(pages.sparkSession, copies)
+    total = counts.groupBy("node", "kind", "value").agg(F.round(F.sum("whole")).cast("long").alias("n"))
+    everywhere = _importance(total, ["node"], settings)
     own = _importance(counts, ["host", "node"], settings)
     both = own.join(everywhere.select("node", F.col("importance").alias("elsewhere")), "node")
     chosen = F.when(F.col("pages") >= settings.few_pages, F.col("importance")).otherwise(F.col("elsewhere"))

@@ -33,6 +33,18 @@ def test_boilerplate_of_a_host_goes(spark):
     assert extract_text(pages_of(spark, [])).count() == 0
 
 
+def test_copies_of_a_page_are_one_page(spark, monkeypatch):
+    story = "<div class=story><p>One article<p>told once</div>"
+    rows = [(n, f"http://c.example/?v={n}", story) for n in range(12)]
+    rows += [(20 + n, f"http://m{n}.example/", story.replace("story", "mirror")) for n in range(3)]
+    rows += [(40 + n, f"http://a.example/{n}", page(n)) for n in range(20)]
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr("llm.html_text.BROADCAST_ROWS", limit)
+        got = {r["page_id"]: r["text"] for r in extract_text(pages_of(spark, rows)).collect()}
+        assert {got[n] for n in (*range(12), 20, 21, 22)} == {"One article\ntold once"}
+        assert got[43] == "Unique & own text 3 more here\nSecond of 3!"
+
+
 def test_blocks_of_odd_markup():
     html = "<ul><li>a<li>b</ul><table><tr><td>c<td>d</table><P CLASS='x>y'>e&nbsp;f</P></div>g<!-- open"
     assert [b[0] for b in Page(html).blocks] == ["a", "b", "c", "d", "e f", "g"]
