@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import chat, decontaminate, html_text, line_dedup, minhash, packing, ppm, quality, sharding, token_files
+from llm import alignment, chat, decontaminate, html_text, line_dedup, minhash, packing, ppm, quality, sharding, token_files
 
 QUERIES = {
     **line_dedup.QUERIES,
@@ -15,4 +15,5 @@ QUERIES = {
     **chat.QUERIES,
     **sharding.QUERIES,
     **minhash.QUERIES,
+    **alignment.QUERIES,
 }
