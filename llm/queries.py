@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from llm import alignment, chat, decontaminate, html_text, line_dedup, minhash, packing, ppm, quality, sharding, token_files
+from llm import (
+    alignment,
+    chat,
+    decontaminate,
+    html_text,
+    line_dedup,
+    minhash,
+    packing,
+    ppm,
+    quality,
+    repeats,
+    sharding,
+    token_files,
+)
 
 QUERIES = {
     **line_dedup.QUERIES,
@@ -16,4 +29,5 @@ QUERIES = {
     **sharding.QUERIES,
     **minhash.QUERIES,
     **alignment.QUERIES,
+    **repeats.QUERIES,
 }
