@@ -11,6 +11,7 @@ from llm import (
     minhash,
     packing,
     ppm,
+    prefix_trie,
     quality,
     repeats,
     sharding,
@@ -28,6 +29,7 @@ QUERIES = {
     **chat.QUERIES,
     **sharding.QUERIES,
     **minhash.QUERIES,
+    **prefix_trie.QUERIES,
     **alignment.QUERIES,
     **repeats.QUERIES,
 }
