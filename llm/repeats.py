@@ -26,13 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from llm import words as w
+from llm.rolling import Rolling
 from llm.sets import whole_keys
 from llm.skew import even_join, hot_keys
 from llm.store import drop, written
 
-_BASE = 0xD1B54A32D192ED03
-_OTHER = 0x8CB92BA72F3D8DD7
-_INVERSES = {base: pow(base, -1, 1 << 64) for base in (_BASE, _OTHER)}
 #: Texts are read in blocks of so many windows.
 BLOCK = 1 << 19
 #: Buckets of more members are halved.
@@ -52,23 +50,6 @@ class RepeatRules:
         return self.length - self.gram
 
 
-class Rolling:
-    """Hashes of any substrings of some bytes."""
-
-    def __init__(self, raw: np.ndarray, base: int):
-        self.base = base
-        values = raw.astype(np.uint64)
-        values += np.uint64(1)
-        values *= w._powers_of(base, len(raw))
-        self.total = np.empty(len(raw) + 1, np.uint64)
-        self.total[0] = 0
-        np.cumsum(values, out=self.total[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        back = w._powers_of(_INVERSES[self.base], len(self.total))
-        return w.mix((self.total[end] - self.total[start]) * back[start])
-
-
 def least_in_windows(value: np.ndarray, width: int) -> np.ndarray:
     """The position of the least value (the leftmost of equal ones) of each run of ``width`` values."""
     best, at, size = value, np.arange(len(value)), 1
@@ -81,44 +62,60 @@ def least_in_windows(value: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def occurrences(raw: np.ndarray, rules: RepeatRules):
-    """(gram, surroundings, start, number of windows, distance to the gram) of the occurrences of a text, block by block."""
-    windows = len(raw) - rules.length + 1
-    for low in range(0, windows, BLOCK):
-        n = min(BLOCK, windows - low)
-        part = raw[low : low + n + rules.length - 1]
-        hashes = Rolling(part, _BASE)
-        first = np.arange(len(part) - rules.gram + 1)
-        grams = hashes.of(first, first + rules.gram)
-        at = least_in_windows(grams, rules.reach + 1)
-        start, count = w.runs(at)
-        off = at[start] - start
-        around = Rolling(part, _OTHER).of(start, start + count - 1 + rules.length)
-        yield grams[at[start]], around ^ w.mix(off.astype(np.uint64) + np.uint64(1)), low + start, count, off
+def occurrences(raw: np.ndarray, offsets: np.ndarray, rules: RepeatRules):
+    """The occurrences of some texts, which ``offsets`` cut ``raw`` into, in order of place.
+
+    Their texts, grams, surroundings, starts in the text, numbers of windows, and distances to the gram.
+    """
+    hashes = Rolling(raw)
+    first = np.arange(len(raw) - rules.gram + 1)
+    at = least_in_windows(hashes.of(first, first + rules.gram), rules.reach + 1)
+    windows = np.maximum(np.diff(offsets) - rules.length + 1, 0)
+    text = np.repeat(np.arange(len(windows)), windows)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows) + offsets[text]
+    at = at[place]
+    new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])])
+    count = np.diff(np.r_[new, len(at)])
+    start, at, text = place[new], at[new], text[new]
+    off = at - start
+    around = hashes.of(start, start + count - 1 + rules.length) ^ w.mix(off.astype(np.uint64) + np.uint64(1))
+    return text, hashes.of(at, at + rules.gram), around, start - offsets[text], count, off
 
 
 OCCURRENCE = "gram long, around long, row binary, start long, n int, off int"
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], rules: RepeatRules):
+    """(rows, bytes, offsets, how far into its text the first one starts): whole short texts together, long ones in blocks."""
+    for batch in batches:
+        for piece in w.pieces(batch, "text"):
+            raw, offsets = w.utf8(piece.column("text"))
+            if len(raw) <= 2 * BLOCK:
+                yield piece.column("row"), raw, offsets, 0
+                continue
+            for i, (start, end) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                for low in range(start, end - rules.length + 1, BLOCK):
+                    part = raw[low : min(low + BLOCK + rules.length - 1, end)]
+                    yield piece.column("row").slice(i, 1), part, np.array([0, len(part)]), low - start
+
+
 def _scan(rules: RepeatRules):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in w.pieces(batch, "text"):
-                raw, offsets = w.utf8(piece.column("text"))
-                for i in np.flatnonzero(np.diff(offsets) >= rules.length):
-                    for gram, around, start, n, off in occurrences(raw[offsets[i] : offsets[i + 1]], rules):
-                        row = piece.column("row").take(pa.array(np.full(len(gram), i)))
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(gram.view(np.int64)),
-                                pa.array(around.view(np.int64)),
-                                row,
-                                pa.array(start.astype(np.int64)),
-                                pa.array(n.astype(np.int32)),
-                                pa.array(off.astype(np.int32)),
-                            ],
-                            names=["gram", "around", "row", "start", "n", "off"],
-                        )
+        for rows, raw, offsets, low in _blocks(batches, rules):
+            if len(raw) < rules.length or (np.diff(offsets) < rules.length).all():
+                continue
+            text, gram, around, start, n, off = occurrences(raw, offsets, rules)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(gram.view(np.int64)),
+                    pa.array(around.view(np.int64)),
+                    rows.take(pa.array(text)),
+                    pa.array(low + start),
+                    pa.array(n.astype(np.int32)),
+                    pa.array(off.astype(np.int32)),
+                ],
+                names=["gram", "around", "row", "start", "n", "off"],
+            )
 
     return run
 
@@ -171,7 +168,7 @@ def _halved(rules: RepeatRules):
                     skip = x["off"] - most
                     data = x["bytes"][skip : skip + most - least + rules.length]
                     common = np.frombuffer(data[most - low : most + rules.length - high], np.uint8)
-                    key = Rolling(common, _OTHER).of(np.zeros(1, int), np.array([len(common)]))
+                    key = Rolling(common).of(np.zeros(1, int), np.array([len(common)]))
                     key = w.mix(key ^ np.uint64(low << 20 | high)).view(np.int64)[0]
                     out.append(x | {
                         "key": int(key), "low": low, "high": high, "start": x["start"] + skip,
@@ -182,30 +179,37 @@ def _halved(rules: RepeatRules):
     return run
 
 
-def refined(raw: np.ndarray, length: int) -> np.ndarray:
-    """Buckets of the suffixes of ``raw`` by their first ``length`` bytes: equal numbers for equal strings.
+def refined(raw: np.ndarray, length: int, wanted: np.ndarray) -> np.ndarray:
+    """Buckets of the suffixes at the places ``wanted`` by their first ``length`` bytes: equal numbers for equal strings.
 
     Initial buckets are 8-grams. Each round sorts the members of buckets with several ones on (bucket, bucket at
-    a later offset); the others keep theirs, which tells them apart already. Suffixes that are too short get some bucket.
+    a later offset); the others keep theirs, which tells them apart already. A round leaves out the
+    places that no wanted one reaches in the rounds to come. Suffixes that are too short get some bucket.
     """
-    grams = np.zeros(len(raw), np.uint64)
+    n = len(raw)
+    steps, depth = [], 8
+    while depth < length:
+        steps.append(min(depth, length - depth))
+        depth += steps[-1]
+    needed = [np.zeros(n, bool) for _ in range(len(steps) + 1)]
+    needed[-1][wanted] = True
+    for i in range(len(steps) - 1, -1, -1):
+        needed[i] |= needed[i + 1]
+        needed[i][steps[i] :] |= needed[i + 1][: n - steps[i]]
+    grams = np.zeros(n, np.uint64)
     padded = np.r_[raw, np.zeros(8, np.uint8)].astype(np.uint64)
     for i in range(8):
-        grams = (grams << np.uint64(8)) | padded[i : i + len(raw)]
-    bucket = np.unique(grams, return_inverse=True)[1].astype(np.int64)
-    depth = 8
-    while depth < length:
-        step = min(depth, length - depth)
+        grams = (grams << np.uint64(8)) | padded[i : i + n]
+    bucket = np.zeros(n, np.int64)
+    bucket[needed[0]] = np.unique(grams[needed[0]], return_inverse=True)[1]
+    for step, places in zip(steps, needed[1:]):
         size = np.bincount(bucket)
-        several = np.flatnonzero(size[bucket] > 1)
+        several = np.flatnonzero(places & (size[bucket] > 1))
         if len(several) == 0:
             break
-        later = bucket[np.minimum(several + step, len(bucket) - 1)]
-        number = np.unique(bucket[several] * len(size) + later, return_inverse=True)[1]
-        bucket[several] = len(size) + number
-        bucket = np.unique(bucket, return_inverse=True)[1].astype(np.int64)
-        depth += step
-    return bucket
+        later = bucket[np.minimum(several + step, n - 1)]
+        bucket[several] = len(size) + np.unique(bucket[several] * len(size) + later, return_inverse=True)[1]
+    return bucket[wanted]
 
 
 def _refine(rules: RepeatRules):
@@ -215,11 +219,10 @@ def _refine(rules: RepeatRules):
         for table in whole_keys(batches, CROWD):
             data = table.column("bytes").combine_chunks()
             raw, offsets = w.utf8(data.cast(pa.large_binary()).view(pa.large_string()))
-            bucket = refined(raw, rules.length)
             n = table.column("n").to_numpy()
             member = np.repeat(np.arange(len(n)), n)
             inside = np.arange(len(member)) - np.repeat(np.cumsum(n) - n, n)
-            window = bucket[offsets[:-1][member] + inside]
+            window = refined(raw, rules.length, offsets[:-1][member] + inside)
             weight = np.bincount(window, weights=table.column("weight").to_numpy()[member])
             twice = weight[window] > 1
             if not twice.any():

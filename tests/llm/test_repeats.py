@@ -66,11 +66,11 @@ def test_refined_buckets_stand_for_the_first_bytes():
     random.seed(2)
     raw = "".join(patchwork(3, 20, 30, "ab")).encode()
     for length in (8, 11, 16, 30, 61):
-        bucket = refined(np.frombuffer(raw, np.uint8), length)
+        wanted = np.flatnonzero(np.random.default_rng(length).random(len(raw) - length + 1) < 0.6)
         by_string, by_bucket = {}, {}
-        for i in range(len(raw) - length + 1):
-            by_string.setdefault(raw[i : i + length], set()).add(int(bucket[i]))
-            by_bucket.setdefault(int(bucket[i]), set()).add(raw[i : i + length])
+        for i, bucket in zip(wanted.tolist(), refined(np.frombuffer(raw, np.uint8), length, wanted).tolist()):
+            by_string.setdefault(raw[i : i + length], set()).add(bucket)
+            by_bucket.setdefault(bucket, set()).add(raw[i : i + length])
         assert all(len(x) == 1 for x in (*by_string.values(), *by_bucket.values()))
 
 
