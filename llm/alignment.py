@@ -6,7 +6,8 @@ for each pair of tokens that share bytes: the overlap links. Places where tokens
 into groups; the products of the token-group matrices give the links of tokens that share a group, of which
 only the number is kept, since a group may be long.
 
-Encoding and products run in the tasks on parts of about a megabyte. How many documents hold a pair of ids linked
+Where a space parts two visible characters, tokens of both end before it, so groups and links never cross such a
+place. A task therefore aligns each different chunk between such spaces once, many at a time, and adds chunks up to texts. How many documents hold a pair of ids linked
 is counted by Spark; the counts of the most frequent pairs (at most ``HEAD_PAIRS``) are broadcast, all others are joined.
 """
 
@@ -14,18 +15,21 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from llm import words as w
-from llm.store import drop, freed_shuffles, new_folder, written
+from llm.rolling import Rolling
+from llm.store import drop, written
 from llm.tokens import _byte_letters
 
 #: Texts are encoded some at a time; longer ones in parts of this many characters.
@@ -138,18 +142,6 @@ class TokenizerPair:
         return tuple(out)
 
 
-_pairs: dict[tuple[str, str], TokenizerPair] = {}
-
-
-def _tokenizers(byte_path: str, piece_path: str) -> TokenizerPair:
-    """One pair a worker process."""
-    key = (byte_path, piece_path)
-    if key not in _pairs:
-        _pairs.clear()
-        _pairs[key] = TokenizerPair(*key)
-    return _pairs[key]
-
-
 def _parts(text: str, size: int) -> list[str]:
     """A long text cut before spaces between two ASCII letters, the spaces left out: no token of either spans such a cut.
 
@@ -185,6 +177,8 @@ class Aligned:
     link_b: np.ndarray
     link_bytes: np.ndarray
     shared: np.ndarray
+    a_end: np.ndarray
+    b_end: np.ndarray
 
 
 def _spelled(pieces: Pieces, ids: np.ndarray, sizes: np.ndarray, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -217,15 +211,23 @@ def align(pair: TokenizerPair, texts: list[str]) -> Aligned:
     in_groups = Csr.of_owners(b_group, len(both)).transposed()
     shared = Csr.of_owners(a_group, len(both)).sums(in_groups.sums(np.ones(len(b), np.int64)))
     return Aligned(
-        good, a, a_text, a_group, b, b_text, b_group, group_text, links.rows(), links.column, links.value, shared
-    )
+        good, a, a_text, a_group, b, b_text, b_group, group_text, links.rows(), links.column, links.value, shared,
+        a_bytes.start[1:], b_bytes.start[1:],
+    )
+
+
+def _owners(x: Aligned, texts: list[str], chunks: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The chunk of each token of A and of B, when the good ones of ``texts`` are chunks joined by spaces."""
+    sizes = [len(c.encode()) + 1 for t, some in enumerate(chunks) if x.good[t] for c in some]
+    ends = np.cumsum(sizes) if sizes else np.zeros(0, np.int64)
+    return np.searchsorted(ends, x.a_end), np.searchsorted(ends, x.b_end)
 
 
-def _groups_written(pair: TokenizerPair, x: Aligned) -> tuple[list[str], np.ndarray]:
-    """The words ``a1,`` ``a2|`` ``b1;`` of all groups in order, and where each text's begin."""
-    n = len(x.group_text)
-    a_count, b_count = np.bincount(x.a_group, minlength=n), np.bincount(x.b_group, minlength=n)
-    a_before, b_before = np.r_[0, np.cumsum(a_count)], np.r_[0, np.cumsum(b_count)]
+def _groups_written(pair: TokenizerPair, x: Aligned, owner: np.ndarray, n: int) -> list[bytes]:
+    """``a1,a2|b1;a3|b2,b3`` for the groups of each of ``n`` owners; ``owner`` is that of each token of A."""
+    groups = len(x.group_text)
+    a_before = np.r_[0, np.cumsum(np.bincount(x.a_group, minlength=groups))]
+    b_before = np.r_[0, np.cumsum(np.bincount(x.b_group, minlength=groups))]
     word = np.empty(len(x.a) + len(x.b), np.int64)
     place = np.arange(len(x.a)) + b_before[x.a_group]
     last = np.arange(len(x.a)) + 1 == a_before[x.a_group + 1]
@@ -233,55 +235,183 @@ def _groups_written(pair: TokenizerPair, x: Aligned) -> tuple[list[str], np.ndar
     place = np.arange(len(x.b)) + a_before[x.b_group + 1]
     last = np.arange(len(x.b)) + 1 == b_before[x.b_group + 1]
     word[place] = x.b + np.where(last, 2 * pair.ids, 0)
-    sizes = np.bincount(x.a_text, minlength=len(x.good)) + np.bincount(x.b_text, minlength=len(x.good))
-    return [pair.written[i] for i in word.tolist()], np.r_[0, np.cumsum(sizes)]
+    # An owner's words begin with its first token of A, and end before that of the next one.
+    first = np.searchsorted(owner, np.arange(n + 1))
+    at = first + b_before[np.r_[x.a_group, groups][first]]
+    words = [pair.written[i] for i in word.tolist()]
+    at = at.tolist()
+    return ["".join(words[p:q])[:-1].encode() for p, q in zip(at[:-1], at[1:])]
 
 
-def _pair_runs(pair: TokenizerPair, x: Aligned) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, id pair (a * ids of B + b) and number of links of each different pair of a text, ascending."""
-    key = (x.a_text[x.link_a] << 31) | (x.a[x.link_a] * pair.b_ids + x.b[x.link_b])
-    key.sort()
-    first, times = w.runs(key)
-    return key[first] >> 31, key[first] & 0x7FFFFFFF, times
+@dataclass
+class Facts:
+    """What is known of some chunks: whether they are spelled, their measures, groups, and linked id pairs (a * ids of B + b)."""
+
+    good: np.ndarray
+    measures: np.ndarray
+    told: list[bytes]
+    pairs: np.ndarray
+    sizes: np.ndarray
+
+
+def chunk_facts(pair: TokenizerPair, chunks: list[str]) -> Facts:
+    """The alignments of a space and each chunk.
+
+    Chunks that begin and end with a safe character are encoded some hundred at a time, joined by spaces: no token
+    spans such a space. If a bundle is not spelled, its chunks are taken singly, as are all others.
+    """
+    n = len(chunks)
+    out = Facts(np.zeros(n, bool), np.zeros((5, n), np.int64), [b""] * n, np.zeros(0, np.int64), np.zeros(n, np.int64))
+    safe = [i for i, c in enumerate(chunks) if _SAFE.match(c[0]) and _SAFE.match(c[-1])]
+    single = sorted(set(range(n)) - set(safe))
+    bundles = [safe[i : i + 200] for i in range(0, len(safe), 200)]
+    found = []
+    for round_ in (bundles, None):
+        members = round_ if round_ is not None else [[i] for i in single]
+        if not members:
+            continue
+        groups = [[chunks[i] for i in some] for some in members]
+        texts = [" ".join(g) for g in groups]
+        x = align(pair, texts)
+        if round_ is not None:
+            single += [i for t, some in enumerate(members) if not x.good[t] for i in some]
+        ids = np.array([i for t, some in enumerate(members) if x.good[t] for i in some], np.int64)
+        a_owner, b_owner = _owners(x, texts, groups)
+        m = len(ids)
+        out.good[ids] = True
+        group_owner = a_owner[np.searchsorted(x.a_group, np.arange(len(x.group_text)))]
+        counted = [np.bincount(o, minlength=m) for o in (a_owner, b_owner, group_owner, a_owner[x.link_a])]
+        total = np.r_[0, np.cumsum(x.shared)]
+        bounds = np.searchsorted(a_owner, np.arange(m + 1))
+        out.measures[:, ids] = np.array([*counted, total[bounds[1:]] - total[bounds[:-1]]])
+        for i, told in zip(ids.tolist(), _groups_written(pair, x, a_owner, m)):
+            out.told[i] = told
+        found.append((ids[a_owner[x.link_a]], x.a[x.link_a] * pair.b_ids + x.b[x.link_b]))
+    if found:
+        owner, code = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(owner, kind="stable")
+        out.pairs, out.sizes = code[order], np.bincount(owner, minlength=n)
+    return out
+
+
+class Memory:
+    """The alignments of the chunks that a worker has met; it starts afresh when it has grown to its bounds.
+
+    Chunks are known by 64-bit hashes of their bytes.
+    """
+
+    def __init__(self, pair: TokenizerPair, max_chunks: int = 500_000, max_bytes: int = 1 << 26):
+        self.pair, self.max_chunks, self.max_bytes = pair, max_chunks, max_bytes
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.good, self.measures, self.told, self.told_bytes = np.zeros(0, bool), np.zeros((5, 0), np.int64), [], 0
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
+        facts = chunk_facts(self.pair, chunks)
+        if self.used + len(facts.pairs) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * len(facts.pairs), np.int32)])
+        self.pool[self.used : self.used + len(facts.pairs)] = facts.pairs
+        self.first = np.r_[self.first, self.used + np.cumsum(facts.sizes) - facts.sizes]
+        self.size = np.r_[self.size, facts.sizes]
+        self.used += len(facts.pairs)
+        known = np.concatenate([self.known, hashes])
+        slot = np.concatenate([self.slot, len(self.told) + np.arange(len(hashes))])
+        order = np.argsort(known, kind="stable")
+        self.known, self.slot = known[order], slot[order]
+        self.good = np.r_[self.good, facts.good]
+        self.measures = np.concatenate([self.measures, facts.measures], axis=1)
+        self.told += facts.told
+        self.told_bytes += sum(map(len, facts.told))
+
+    def entries(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of the entry of each chunk ``raw[start:end]``; new ones are encoded."""
+        hashes, first, inverse = np.unique(Rolling(raw).of(starts, ends), return_index=True, return_inverse=True)
+        if len(self.told) + len(hashes) > self.max_chunks or self.told_bytes + 4 * self.used > self.max_bytes:
+            self._forget()
+        at = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != hashes[inside]
+        if new.any():
+            data = raw.tobytes()
+            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist())
+            self._learn(hashes[new], [data[a:b].decode() for a, b in spans])
+            at = np.searchsorted(self.known, hashes)
+        return self.slot[at][inverse]
+
+
+#: A space between two of these parts tokens of both tokenizers: visible ASCII, and letters and signs up to U+02FF.
+_SAFE = re.compile("[!-~\u00c0-\u02ff]")
+
+
+def chunks_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and texts of the chunks between spaces that part tokens; these spaces belong to no chunk."""
+    visible = (raw > 0x20) & (raw < 0x7F)
+    lead = (raw >= 0xC3) & (raw <= 0xCB)
+    opens = visible | lead
+    closes = visible.copy()
+    closes[1:] |= lead[:-1]
+    cut = np.zeros(len(raw), bool)
+    if len(raw) > 2:
+        cut[1:-1] = (raw[1:-1] == 0x20) & closes[:-2] & opens[2:]
+    edge = offsets[(offsets > 0) & (offsets < len(raw))]
+    cut[edge] = False
+    cut[edge - 1] = False
+    at = np.flatnonzero(cut)
+    begin = offsets[:-1][np.diff(offsets) > 0]
+    end = offsets[1:][np.diff(offsets) > 0]
+    starts, ends = np.sort(np.r_[begin, at + 1]), np.sort(np.r_[end, at])
+    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
 #: Columns of a document's alignment, after its row number and id.
 MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_shared"]
 
 
-def _packed(parts: list[np.ndarray]) -> list[bytes]:
-    return [x.astype(np.int32).tobytes() for x in parts]
+def _measured(memory: Memory, raw: np.ndarray, offsets: np.ndarray):
+    """Whether each text is spelled, its measures, its groups, and its pairs and times (text, pair, times; ascending)."""
+    n = len(offsets) - 1
+    starts, ends, text = chunks_of(raw, offsets)
+    entry = memory.entries(raw, starts, ends) if len(starts) else np.zeros(0, np.int64)
+    bad = np.bincount(text, weights=~memory.good[entry], minlength=n) > 0
+    bounds = np.searchsorted(text, np.arange(n + 1))
+    total = np.concatenate([np.zeros((5, 1), np.int64), np.cumsum(memory.measures[:, entry], axis=1)], axis=1)
+    measures = total[:, bounds[1:]] - total[:, bounds[:-1]]
+    measures[:, bad] = 0
+    told = [memory.told[i] for i in entry.tolist()]
+    at = bounds.tolist()
+    groups = [b"" if x else b";".join(told[p:q]) for x, p, q in zip(bad.tolist(), at[:-1], at[1:])]
+    entry, text = entry[~bad[text]], text[~bad[text]]
+    size = memory.size[entry]
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(memory.first[entry], size)
+    key = (np.repeat(text, size) << 31) | memory.pool[place]
+    key.sort()
+    first, times = w.runs(key)
+    return ~bad, measures, groups, (key[first] >> 31, key[first] & 0x7FFFFFFF, times)
 
 
-def _short(pair: TokenizerPair, texts: list[str]) -> tuple[np.ndarray, list[str], list[np.ndarray], list[np.ndarray]]:
+def _short(memory: Memory, raw: np.ndarray, offsets: np.ndarray):
     """The measures, digests of groups, pairs and their times of some texts."""
-    x = align(pair, texts)
-    n = len(texts)
-    measures = [np.bincount(t, minlength=n) for t in (x.a_text, x.b_text, x.group_text, x.a_text[x.link_a])]
-    total = np.r_[0, np.cumsum(x.shared)]
-    bounds = np.searchsorted(x.a_text, np.arange(n + 1))
-    measures.append(total[bounds[1:]] - total[bounds[:-1]])
-    words, at = _groups_written(pair, x)
-    at = at.tolist()
-    digests = [
-        hashlib.sha256("".join(words[p:q])[:-1].encode()).hexdigest() if q > p else "" for p, q in zip(at[:-1], at[1:])
-    ]
-    text, code, times = _pair_runs(pair, x)
-    cuts = np.searchsorted(text, np.arange(n + 1))[1:-1]
-    return np.array(measures), digests, np.split(code, cuts), np.split(times, cuts)
+    _, measures, groups, (text, code, times) = _measured(memory, raw, offsets)
+    cuts = np.searchsorted(text, np.arange(len(offsets)))[1:-1]
+    digests = [hashlib.sha256(x).hexdigest() if x else "" for x in groups]
+    return measures, digests, np.split(code, cuts), np.split(times, cuts)
 
 
-def _long(pair: TokenizerPair, text: str) -> tuple[np.ndarray, list[str], list[np.ndarray], list[np.ndarray]]:
+def _long(memory: Memory, text: str):
     """The same for one long text, part by part; tokens and groups end where parts do."""
     measures, digest, codes, times = np.zeros(5, np.int64), hashlib.sha256(), [], []
     for number, part in enumerate(_parts(text, PART)):
-        x = align(pair, [part])
-        if not x.good[0]:
+        raw = np.frombuffer(part.encode(), np.uint8)
+        good, found, groups, (_, code, n) = _measured(memory, raw, np.array([0, len(raw)]))
+        if not good[0]:
             return np.zeros((5, 1), np.int64), [""], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        measures += [len(x.a), len(x.b), len(x.group_text), len(x.link_a), int(x.shared.sum())]
-        words, _ = _groups_written(pair, x)
-        digest.update((";" if number else "").encode() + "".join(words)[:-1].encode())
-        _, code, n = _pair_runs(pair, x)
+        measures += found[:, 0]
+        digest.update((b";" if number else b"") + groups[0])
         codes.append(code)
         times.append(n)
     code, inverse = np.unique(np.concatenate(codes), return_inverse=True)
@@ -289,36 +419,45 @@ def _long(pair: TokenizerPair, text: str) -> tuple[np.ndarray, list[str], list[n
     return measures[:, None], [digest.hexdigest()], [code], [n]
 
 
+def _packed(parts: list[np.ndarray]) -> list[bytes]:
+    return [x.astype(np.int32).tobytes() for x in parts]
+
+
+def _split(piece: pa.RecordBatch):
+    """Long texts alone, the others together."""
+    size = pc.fill_null(pc.binary_length(piece.column("text")), 0).to_numpy(zero_copy_only=False)
+    long = np.flatnonzero(size > 2 * PART)
+    for low, high in zip(np.r_[0, long + 1], np.r_[long, len(size)]):
+        if high > low:
+            yield piece.slice(low, high - low), False
+        if high < len(size):
+            yield piece.slice(high, 1), True
+
+
 def _aligner(byte_path: str, piece_path: str):
     names = ["row", "key", *MEASURES, "groups_sha256", "pairs", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = _tokenizers(byte_path, piece_path)
+        memory = Memory(TokenizerPair(byte_path, piece_path))
         for batch in batches:
             for piece in w.pieces(batch, "text", PART):
-                texts = [x or "" for x in piece.column("text").to_pylist()]
-                if len(texts) == 1 and len(texts[0]) > PART:
-                    measures, digests, codes, times = _long(pair, texts[0])
-                else:
-                    full = [i for i, x in enumerate(texts) if x]
-                    measures, digests = np.zeros((5, len(texts)), np.int64), [""] * len(texts)
-                    codes, times = [np.zeros(0, np.int64)] * len(texts), [np.zeros(0, np.int64)] * len(texts)
-                    if full:
-                        found = _short(pair, [texts[i] for i in full])
-                        measures[:, full] = found[0]
-                        for at, *values in zip(full, *found[1:]):
-                            digests[at], codes[at], times[at] = values
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column("row"),
-                        piece.column("key"),
-                        *[pa.array(x, pa.int64()) for x in measures],
-                        pa.array(digests, pa.string()),
-                        pa.array(_packed(codes), pa.binary()),
-                        pa.array(_packed(times), pa.binary()),
-                    ],
-                    names=names,
-                )
+                for rows, long in _split(piece):
+                    if long:
+                        found = _long(memory, rows.column("text")[0].as_py())
+                    else:
+                        found = _short(memory, *w.utf8(rows.column("text")))
+                    measures, digests, codes, times = found
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            rows.column("row"),
+                            rows.column("key"),
+                            *[pa.array(x, pa.int64()) for x in measures],
+                            pa.array(digests, pa.string()),
+                            pa.array(_packed(codes), pa.binary()),
+                            pa.array(_packed(times), pa.binary()),
+                        ],
+                        names=names,
+                    )
 
     return run
 

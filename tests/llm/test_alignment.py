@@ -109,19 +109,20 @@ def test_pairs_outside_the_head_are_joined(spark, monkeypatch):
 
 
 def test_long_texts_go_part_by_part():
-    pair = TokenizerPair(*default_tokenizers())
+    memory = al.Memory(TokenizerPair(*default_tokenizers()), max_chunks=30)
     random.seed(8)
-    text = " ".join(random.choices(["alpha", "Straße", "b3ta", "  gap", "x", "the", "end."], k=4000))
-    at_once, size = al._short(pair, [text]), al.PART
+    text = " ".join(random.choices(["alpha", "Straße", "b3ta", "  gap", "x", "the", "end.", "中"], k=4000))
+    raw, size = np.frombuffer(text.encode(), np.uint8), al.PART
+    at_once = al._short(memory, raw, np.array([0, len(raw)]))
     al.PART = 500
     try:
         assert len(al._parts(text, 500)) > 20
-        parts = al._long(pair, text)
+        parts = al._long(memory, text)
     finally:
         al.PART = size
     assert (at_once[0] == parts[0]).all() and at_once[1] == parts[1]
     assert (at_once[2][0] == parts[2][0]).all() and (at_once[3][0] == parts[3][0]).all()
-    assert al._long(pair, "a ▁ b" * 9)[1] == [""]
+    assert al._long(memory, "a ▁ b" * 9)[1] == [""]
 
 
 def test_empty_table_and_clashing_columns(spark):
