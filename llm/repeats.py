@@ -128,7 +128,7 @@ def _contexts(rules: RepeatRules):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, row, asks in zip(batch.column("text"), batch.column("row").to_pylist(), batch.column("asks")):
+            for text, row, asks in zip(batch.column("text"), batch.column("row"), batch.column("asks")):
                 data = memoryview(text.as_buffer())
                 asks = pa.RecordBatch.from_struct_array(asks.values)
                 start, n = asks.column("start").to_numpy(), asks.column("n").to_numpy()
@@ -140,7 +140,7 @@ def _contexts(rules: RepeatRules):
                         asks.column("gram"),
                         pa.array(np.zeros(m, np.int32)),
                         pa.array(np.full(m, rules.reach, np.int32)),
-                        pa.array([row] * m, pa.binary()),
+                        pa.array([row.as_py()] * m, pa.binary()),
                         asks.column("start"),
                         asks.column("n"),
                         asks.column("off"),
@@ -310,7 +310,7 @@ def _cut(rules: RepeatRules):
     """The spans that the repeated strings of a text cover, and the bytes outside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for x in batches for piece in w.pieces(x, "text", BLOCK)):
             sizes, spans, kept = [], [], []
             for text, starts in zip(batch.column("text"), batch.column("starts")):
                 data = memoryview(text.as_buffer()) if text.is_valid else memoryview(b"")
