@@ -59,28 +59,46 @@ def add_context(frame: Frame, profile: Profile) -> Frame:
         )
 
     summary = pin(reduce(DataFrame.unionByName, [summarise(p) for p in frame.parts]))
-    # Three values of the whole frame; one row reaches the driver.
-    size, first, last = summary.agg(
-        F.count("*"), F.min(F.struct(METER, "first_ts")), F.max(METER)
+    # A few values of the whole frame; one row reaches the driver.
+    known = F.col(METER).isNotNull()
+    facts = summary.agg(
+        F.count(METER).alias("size"),
+        F.min(F.when(known, F.struct(METER, "first_ts"))).alias("first"),
+        F.max(METER).alias("last"),
+        F.sum("loads").alias("loads"),
+        F.max(F.when(known & F.col("load_ts").isNotNull(), F.struct(METER, F.col("load_ts").cast("string").alias("ts")))).alias("load"),
+        F.max(F.when(~known, F.col("first_ts"))).alias("lone_ts"),
     ).first()
-    if not size:
+    size, first, lone = facts["size"], facts["first"], facts["lone_ts"] is not None
+    if not size and not lone:
         return frame.map(lambda df, _: df.withColumns(nothing))
-    frame_start = F.lit(first["first_ts"]).cast("timestamp_ntz")
+    frame_start = F.lit(first["first_ts"] if size else facts["lone_ts"]).cast("timestamp_ntz")
     context = exclusive_scan(
-        summary, ["loads"], ["load_ts", "energy"], size, frame.scale.scan_rows
+        summary.filter(known), ["loads"], ["load_ts", "energy"], size, frame.scale.scan_rows
     ).select(
         METER,
         F.coalesce("before_load_ts", frame_start).alias("_carried_load_ts"),
         F.col("before_loads").alias("_carried_loads"),
         F.col("before_energy")["v"].alias("_carried_energy"),
-        (F.col(METER) != first[METER]).alias("_has_prev_meter"),
-        (F.col(METER) == last).alias("_is_last_meter"),
+        (F.col(METER) != (first[METER] if size else 0)).alias("_has_prev_meter"),
+        ((F.col(METER) == facts["last"]) & F.lit(not lone)).alias("_is_last_meter"),
     )
     if not profile.loads_cross_meters:
         context = context.withColumns({n: nothing[n] for n in ("_carried_load_ts", "_carried_loads")})
     if not profile.diff_crosses_meters:
         context = context.withColumn("_carried_energy", nothing["_carried_energy"])
-    return frame.join_meters(context, size)
+    frame = frame.join_meters(context, size)
+    if not lone:
+        return frame
+    # Rows without a meter number come last, behind all meters.
+    crossing = profile.loads_cross_meters
+    last_load = F.coalesce(F.lit(facts["load"]["ts"] if facts["load"] else None).cast("timestamp_ntz"), frame_start)
+    behind = nothing | {"_has_prev_meter": F.lit(True)}
+    if crossing:
+        behind |= {"_carried_load_ts": last_load, "_carried_loads": F.lit(facts["loads"]).cast("bigint")}
+    return frame.map(
+        lambda df, _: df.withColumns({n: F.when(F.col(METER).isNull(), v).otherwise(F.col(n)) for n, v in behind.items()})
+    )
 
 
 def add_load_instances(df: DataFrame, layout: Layout) -> DataFrame:
@@ -203,10 +221,13 @@ def event_offsets(starts: DataFrame, scale: Scale) -> tuple[DataFrame, int]:
 
 
 def number_events(frame: Frame) -> Frame:
-    """Turn numbers within a meter into numbers within the frame, in meter order."""
+    """Turn numbers within a meter into numbers within the frame, in meter order.
+
+    Rows without a meter number have no event that lasts, and lose their numbers.
+    """
     frame = frame.pin()
     counts = [
-        p.df.groupBy(METER).agg(F.sum(F.col(START).cast("bigint")).alias("starts"))
+        p.df.filter(F.col(METER).isNotNull()).groupBy(METER).agg(F.sum(F.col(START).cast("bigint")).alias("starts"))
         for p in frame.parts
     ]
     offsets, size = event_offsets(reduce(DataFrame.unionByName, counts), frame.scale)
@@ -312,12 +333,9 @@ def cooking_event(
 ) -> DataFrame:
     """Readings with their session columns; rows outside any kept event have a null event.
 
-    Rows without a meter number stay, without a lasting event.
+    Rows without a meter number stay, behind all others and without a lasting event.
     """
-    prepared = prepare(df, profile)
-    frame = Frame.split(metered(prepared), scale)
-    done = session_frame(frame, params, profile).union()
-    return with_unmetered(done, prepared.drop(*_stale(profile)))
+    return session_frame(Frame.split(prepare(df, profile), scale), params, profile).union()
 
 
 def event_conditions(
@@ -328,6 +346,5 @@ def event_conditions(
 ) -> DataFrame:
     """Readings with loads and start/end flags only; rows without a meter number stay."""
     require(df, METER, TS, "id", "energy", "power")
-    frame = flag_frame(Frame.split(metered(df), scale), params, profile)
-    done = frame.map(lambda rows, _: rows.drop(*HELPERS)).union()
-    return with_unmetered(done, df)
+    frame = flag_frame(Frame.split(df, scale), params, profile)
+    return frame.map(lambda rows, _: rows.drop(*HELPERS)).union()

@@ -98,7 +98,7 @@ def event_table(frame: Frame, params: Params, profile: Profile) -> DataFrame:
     inside = F.col(EVENT).isNotNull()
 
     def measure(df: DataFrame) -> DataFrame:
-        return df.groupBy(METER, RAW_EVENT).agg(
+        return df.filter(F.col(METER).isNotNull()).groupBy(METER, RAW_EVENT).agg(
             *_measures(profile, inside), F.max(inside).alias("_kept")
         )
 

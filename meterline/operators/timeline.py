@@ -10,6 +10,9 @@ position and belongs to a strip of ``strip_rows`` consecutive positions:
 * running values (``running``) are computed per strip and completed from the strips before,
   through a summary of one row per strip;
 * values of a whole event (``per_event``) are reduced per strip first, then across strips.
+
+Missing equals nothing, so a reading without a meter number has no neighbours: ordinary parts are grouped by meter
+and ``_lone``, which makes each such row a group of its own and spreads them over all tasks.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from meterline.schema import METER, TS
 
 POS = "_pos"
 STRIP = "_strip"
+LONE = "_lone"  # tells rows without a meter number apart, 0 for all others
 HALF = 33  # monotonically_increasing_id keeps the partition in the bits above this one
 
 
@@ -64,6 +68,7 @@ class Layout:
     order: tuple[str, ...]
     strip_rows: int | None = None
     stacked: bool = False  # rows see their neighbours across meters
+    lone: bool = False  # some rows may lack a meter number
 
     @property
     def striped(self) -> bool:
@@ -72,7 +77,7 @@ class Layout:
     @property
     def group(self) -> list[str]:
         """Rows of different groups never see each other."""
-        return [] if self.stacked else [METER]
+        return [] if self.stacked else [METER, LONE] if self.lone else [METER]
 
     @property
     def keys(self) -> list[str]:
@@ -215,8 +220,12 @@ class Frame:
     @staticmethod
     def split(df: DataFrame, scale: Scale) -> Frame:
         """Separate meters too long for one task. Costs one pre-aggregated count per meter."""
-        counts = df.groupBy(METER).agg(F.count("*").alias("_rows"))
-        layout = Layout(tuple(row_order(df)))
+        counts = df.filter(F.col(METER).isNotNull()).groupBy(METER).agg(F.count("*").alias("_rows"))
+        layout = Layout(tuple(row_order(df)), lone=df.schema[METER].nullable)
+        if layout.lone:
+            told_by = [c for c in (*layout.order, "energy") if c in df.columns]
+            lone = F.when(F.col(METER).isNull(), F.xxhash64(*told_by))
+            df = df.withColumn(LONE, F.coalesce(lone, F.lit(0).cast("bigint")))
         candidates = counts.filter(F.col("_rows") > scale.hot_meter_rows)
         if candidates.isEmpty():
             return Frame((Part(df, layout),), scale)
@@ -226,11 +235,11 @@ class Frame:
             candidates.filter(F.col("_rows") > total / F.lit(scale.max_hot_meters)).select(METER)
         )
         cold = df.join(F.broadcast(hot), METER, "left_anti")
-        long = df.join(F.broadcast(hot), METER, "left_semi")
+        long = df.join(F.broadcast(hot), METER, "left_semi").drop(LONE)
         return Frame(
             (
                 Part(cold, layout),
-                Part(long, replace(layout, strip_rows=scale.strip_rows)),
+                Part(long, replace(layout, strip_rows=scale.strip_rows, lone=False)),
             ),
             scale,
             hot,
@@ -273,7 +282,7 @@ class Frame:
         return replace(self, parts=tuple(Part(work(p.df, p.layout), p.layout) for p in self.parts))
 
     def join_meters(self, context: DataFrame, size: int) -> Frame:
-        """Attach one row per meter, ``size`` rows in all.
+        """Attach one row per meter, ``size`` rows in all; rows without a meter number get nulls.
 
         Broadcast while that is few. Above, ordinary parts are joined by meter; the strips of heavy
         meters get the rows of those meters alone, which are few by construction, so that a heavy
@@ -281,18 +290,24 @@ class Frame:
         """
         if size <= self.scale.scan_rows:
             few = F.broadcast(context)
-            return self.map(lambda df, _: df.join(few, METER))
-        if self.hot is None:
-            return self.map(lambda df, _: df.join(context, METER))
-        heavy = F.broadcast(context.join(F.broadcast(self.hot), METER, "left_semi"))
-        return self.map(lambda df, layout: df.join(heavy if layout.striped else context, METER))
+            return self.map(lambda df, _: df.join(few, METER, "left"))
+        heavy = None if self.hot is None else F.broadcast(context.join(F.broadcast(self.hot), METER, "left_semi"))
+
+        def attach(df: DataFrame, layout: Layout) -> DataFrame:
+            if layout.striped:
+                return df.join(heavy, METER, "left")
+            if layout.lone:
+                return df.join(context.withColumn(LONE, F.lit(0).cast("bigint")), [METER, LONE], "left")
+            return df.join(context, METER, "left")
+
+        return self.map(attach)
 
     def pin(self) -> Frame:
         return self.map(lambda df, _: pin(df))
 
     def union(self) -> DataFrame:
         """All parts as one DataFrame without the layout columns."""
-        whole = self.parts[0].df.drop(POS, STRIP)
+        whole = self.parts[0].df.drop(POS, STRIP, LONE)
         for part in self.parts[1:]:
-            whole = whole.unionByName(part.df.drop(POS, STRIP))
+            whole = whole.unionByName(part.df.drop(POS, STRIP, LONE))
         return whole

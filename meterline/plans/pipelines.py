@@ -24,11 +24,8 @@ DEFINITION_PARAMS = Params(power_mean_min=0.1)
 
 
 def _clean_frame(readings: DataFrame, params: Params, profile: Profile, scale: Scale) -> Frame:
-    """Spikes repaired; the zone shift moves all rows alike, so it may come first.
-
-    Readings without a meter number have no event and are left to ``with_unmetered``.
-    """
-    return despike_frame(Frame.split(metered(prepare(readings, profile)), scale), params, profile)
+    """Spikes repaired; the zone shift moves all rows alike, so it may come first."""
+    return despike_frame(Frame.split(prepare(readings, profile), scale), params, profile)
 
 
 def _extended(frame: Frame, params: Params, profile: Profile, numbered: bool) -> Frame:
@@ -47,8 +44,7 @@ def extended_sessions(
 ) -> DataFrame:
     """Sessions after duplicate removal and extension at both ends, in one pass."""
     frame = _clean_frame(readings, params, profile, scale)
-    done = _extended(frame, params, profile, numbered=True).union()
-    return with_unmetered(done, prepare(readings, profile))
+    return _extended(frame, params, profile, numbered=True).union()
 
 
 def session_pipeline(
@@ -60,8 +56,7 @@ def session_pipeline(
     """Sessions of the extended readings, found in a second pass."""
     frame = _clean_frame(readings, params, profile, scale)
     frame = _extended(frame, params, profile, numbered=False)
-    done = session_frame(frame, params, profile).union()
-    return with_unmetered(done, prepare(readings, profile))
+    return session_frame(frame, params, profile).union()
 
 
 def event_pipeline(
@@ -102,7 +97,7 @@ def definition_sessions(
     scale: Scale = Scale(),
 ) -> DataFrame:
     """Sessions by the older definition, in which an event may run on into the next meter."""
-    frame = Frame.stacked(_clean_frame(readings, params, profile, scale).union(), scale)
+    frame = Frame.stacked(_clean_frame(metered(readings), params, profile, scale).union(), scale)
     frame = session_frame(frame, params, profile)
     done = drop_frame(flag_frame(frame, params, profile), profile).union()
     return with_unmetered(done, prepare(readings, profile))

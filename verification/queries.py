@@ -339,6 +339,43 @@ _second_pass("", EFFECTIVE)
 _second_pass("_documented", DOCUMENTED)
 
 
+# -- readings without a meter number ---------------------------------------------------------------
+
+
+def _meterless(spark, sf, scale: Scale = Scale()) -> DataFrame:
+    """Every fiftieth reading has lost its meter number."""
+    kept = F.when(F.col("id") % 50 != 0, F.col("meter_number"))
+    return readings(spark, sf, scale).withColumn("meter_number", kept)
+
+
+def _meterless_queries(suffix: str, profile: Profile, scale: Scale = Scale()) -> None:
+    def source() -> o.Query:
+        return o.base(profile).lose_meters().despike().zone()
+
+    @query(f"remove_spikes_null_meter{suffix}", source().select(o.shown(SPIKE_COLUMNS)))
+    def spikes(spark, sf):
+        return show(m.remove_spikes(_meterless(spark, sf, scale), profile=profile, scale=scale), SPIKE_COLUMNS)
+
+    @query(f"sessions_null_meter{suffix}", source().sessions().select(o.shown(o.SESSION_COLUMNS)))
+    def found(spark, sf):
+        df = m.remove_spikes(_meterless(spark, sf, scale), profile=profile, scale=scale)
+        return show(m.cooking_event(df, profile=profile, scale=scale), o.SESSION_COLUMNS)
+
+    sql = (
+        source().sessions().flag_duplicates().drop_duplicates().extend_ending().extend_beginning()
+        .sessions(second=True).event_table().select(o.shown(o.EVENT_COLUMNS))
+    )
+
+    @query(f"full_pipeline_null_meter{suffix}", sql)
+    def whole(spark, sf):
+        df = m.event_pipeline(_meterless(spark, sf, scale), profile=profile, scale=scale, whole_time=True)
+        return show(df, o.EVENT_COLUMNS)
+
+
+_meterless_queries("", EFFECTIVE)
+_meterless_queries("_documented", DOCUMENTED)
+_meterless_queries("_split_meters", EFFECTIVE, SPLIT)
+
 # -- event table and pipelines -------------------------------------------------------------------
 
 
