@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,9 +69,44 @@ def drop_frame(frame: Frame, profile: Profile) -> Frame:
         stamps = stamps.unionByName(more)
     # Counted first: an estimate would come from the whole frame and shuffle all of it by time.
     stamps = pin(stamps.distinct())
-    if stamps.count() <= frame.scale.scan_rows:
-        stamps = F.broadcast(stamps)
-    return frame.map(lambda df, _: df.join(stamps, TS, "left_anti")).arrange()
+    return frame.map(_without(stamps, frame.scale.scan_rows)).arrange()
+
+
+#: A bitmap stands for 32,768 seconds in 4 kilobytes; so many of them (64 MB, 17 years) are broadcast at most.
+BITMAPS = 1 << 14
+
+
+def _without(stamps: DataFrame, few: int) -> Callable[[DataFrame, Layout], DataFrame]:
+    """Drops the rows at ``stamps`` (distinct, pinned) without moving the others.
+
+    Up to ``few`` stamps are broadcast. More are compressed to one bit per second. If all of them
+    are whole seconds, as recordings are, the bits decide; else only rows whose second has its bit set are shuffled
+    and compared exactly.
+    """
+    second = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(TS))
+    whole = F.date_trunc("second", TS) == F.col(TS)
+    total, all_whole = stamps.agg(F.count("*"), F.min(whole)).first()
+    if total <= few:
+        return lambda df, _: df.join(F.broadcast(stamps), TS, "left_anti")
+    bucket, bit = F.bitmap_bucket_number(second), F.bitmap_bit_position(second)
+    bitmaps = pin(stamps.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_bits")))
+    if bitmaps.count() > BITMAPS:
+        return lambda df, _: df.join(stamps, TS, "left_anti")
+
+    def marked(df: DataFrame) -> DataFrame:
+        byte = F.expr("CAST(conv(hex(substring(_bits, CAST(_bit DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)")
+        rows = df.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(bitmaps), "_bucket", "left")
+        hit = F.coalesce(F.getbit(byte, F.pmod("_bit", F.lit(8))) == 1, F.lit(False))
+        return rows.withColumn("_hit", hit).drop("_bucket", "_bit", "_bits")
+
+    def drop(df: DataFrame, _: Layout) -> DataFrame:
+        rows = marked(df)
+        if all_whole:
+            return rows.filter(~(F.col("_hit") & whole)).drop("_hit")
+        near = rows.filter("_hit").drop("_hit").join(stamps, TS, "left_anti")
+        return rows.filter("NOT _hit").drop("_hit").unionByName(near)
+
+    return drop
 
 
 def timestamp_issue(

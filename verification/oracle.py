@@ -107,6 +107,22 @@ class Query:
             f"lambda acc, x: CASE WHEN x > acc + {margin} THEN acc ELSE x END) END AS energy)"
         )
 
+    def long_spikes(self) -> Query:
+        """Three long meters, and a counter that is 20 kWh too high during every fourth half hour."""
+        high = "date_diff('minute', TIMESTAMP '2024-01-01 00:00:00', timestamp) // 30 % 4 = 1"
+        return self.change(
+            meter_number="meter_number % 3", energy=f"energy + CASE WHEN {high} THEN 20::DOUBLE ELSE 0::DOUBLE END"
+        )
+
+    def replays(self) -> Query:
+        """Two hours in eight of each meter are sent again, 125 minutes late, with new ids."""
+        again = "(meter_number + date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', timestamp) // 2) % 4 = 0"
+        late = "id + 100000000 AS id, timestamp + INTERVAL 125 MINUTE AS timestamp"
+        base = self.last
+        return self.step(
+            f"SELECT * FROM {base} UNION ALL SELECT * REPLACE ({late}) FROM {base} WHERE {again}", ""
+        )
+
     def lose_meters(self) -> Query:
         """Every fiftieth reading without its meter number; such readings come last."""
         return self.change(meter_number="CASE WHEN id % 50 = 0 THEN NULL ELSE meter_number END")

@@ -37,7 +37,7 @@ from meterline.plans.pipelines import (
 )
 from meterline.sources.files import read_csv, write_csv
 from verification import oracle as o
-from verification.readings import readings
+from verification.readings import readings, replayed, with_long_spikes
 
 Spark = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Spark, str]] = {}
@@ -169,6 +169,19 @@ def remove_spikes_split_meters(spark, sf):
     return show(m.remove_spikes(readings(spark, sf, SPLIT), scale=SPLIT), SPIKE_COLUMNS)
 
 
+def _long_spikes(name: str, profile: Profile, scale: Scale = Scale()) -> None:
+    @query(name, o.base(profile).long_spikes().despike().select(o.shown(SPIKE_COLUMNS)))
+    def run(spark, sf):
+        df = with_long_spikes(readings(spark, sf))
+        return show(m.remove_spikes(df, profile=profile, scale=scale), SPIKE_COLUMNS)
+
+
+_long_spikes("long_spikes", EFFECTIVE)
+_long_spikes("long_spikes_fixpoint", DOCUMENTED)
+_long_spikes("long_spikes_split_meters", EFFECTIVE, SPLIT)
+_long_spikes("long_spikes_fixpoint_split_meters", DOCUMENTED, SPLIT)
+
+
 def _loads(spark, sf):
     frame = Frame.split(clean(spark, sf), Scale())
     return frame.map(lambda df, layout: add_loads(df, layout, Params(), EFFECTIVE)).union()
@@ -339,6 +352,62 @@ _second_pass("", EFFECTIVE)
 _second_pass("_documented", DOCUMENTED)
 
 
+# -- replayed events ------------------------------------------------------------------------------
+
+FEW = Scale(scan_rows=10)  # so that flagged times go into bitmaps, and meters into blocks
+WIDE = Params(power_capacity=1.5, time_resolution=10)  # other than the values that the fixed steps assume
+
+
+def _replayed(profile: Profile = EFFECTIVE, params: Params = Params(), **kw) -> o.Query:
+    return o.base(profile, params, **kw).replays().despike().zone()
+
+
+def _replayed_duplicates(name: str, profile: Profile, scale: Scale = Scale(), **kw) -> None:
+    sql = _replayed(profile, **kw).sessions().flag_duplicates().drop_duplicates().select(o.shown(ISSUE_COLUMNS))
+
+    @query(name, sql)
+    def run(spark, sf):
+        df = m.remove_spikes(replayed(readings(spark, sf, scale, **kw)), profile=profile, scale=scale)
+        df = m.cooking_event(df, profile=profile, scale=scale)
+        return show(m.timestamp_issue(df, profile=profile, scale=scale), ISSUE_COLUMNS)
+
+
+_replayed_duplicates("duplicate_replays_label", EFFECTIVE)
+_replayed_duplicates("duplicate_replays_label_bitmap", EFFECTIVE, FEW)
+_replayed_duplicates("duplicate_replays_label_seconds", EFFECTIVE, FEW, whole_seconds=True)
+_replayed_duplicates("duplicate_replays_row", DOCUMENTED)
+_replayed_duplicates("duplicate_replays_last_row", replace(DOCUMENTED, check_last_rows_only=True))
+_replayed_duplicates("duplicate_replays_split_meters", EFFECTIVE, SPLIT)
+
+
+def _replayed_pipeline(name: str, profile: Profile, params: Params = Params(), scale: Scale = Scale()) -> None:
+    sql = (
+        _replayed(profile, params).sessions().flag_duplicates().drop_duplicates().extend_ending().extend_beginning()
+        .sessions(second=True).event_table().select(o.shown(o.EVENT_COLUMNS))
+    )
+
+    @query(name, sql)
+    def run(spark, sf):
+        df = replayed(readings(spark, sf, scale))
+        return show(m.event_pipeline(df, params, profile, scale, whole_time=True), o.EVENT_COLUMNS)
+
+
+_replayed_pipeline("full_pipeline_replays", EFFECTIVE)
+_replayed_pipeline("full_pipeline_replays_documented", DOCUMENTED)
+_replayed_pipeline("full_pipeline_replays_split_meters", EFFECTIVE, scale=SPLIT)
+_replayed_pipeline("full_pipeline_replays_capacity", EFFECTIVE, WIDE)
+_replayed_pipeline("full_pipeline_replays_capacity_documented", DOCUMENTED, WIDE)
+
+
+@query(
+    "definition_variant_replays",
+    _replayed(DEFINITION_PROFILE, DEFINITION_PARAMS).sessions().flag_duplicates().drop_duplicates()
+    .event_table().select(o.shown(o.EVENT_COLUMNS)),
+)
+def definition_variant_replays(spark, sf):
+    return show(m.definition_pipeline(replayed(readings(spark, sf))), o.EVENT_COLUMNS)
+
+
 # -- readings without a meter number ---------------------------------------------------------------
 
 

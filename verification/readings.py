@@ -58,3 +58,22 @@ def readings(
         "voltage",
         (F.col("power") * 1000 / F.col("voltage")).alias("current"),
     )
+
+
+def replayed(readings: DataFrame) -> DataFrame:
+    """Readings of which two hours in eight of each meter are sent again, 125 minutes late, with new ids."""
+    epoch = F.lit(EPOCH).cast("timestamp_ntz")
+    slot = F.expr("hours div 2")
+    again = readings.withColumn("hours", F.timestamp_diff("HOUR", epoch, F.col("timestamp")))
+    again = again.filter((F.col(METER) + slot) % 4 == 0).drop("hours")
+    late = F.timestamp_add("MINUTE", F.lit(125), F.col("timestamp"))
+    return readings.unionByName(again.withColumns({"id": F.col("id") + 100_000_000, "timestamp": late}))
+
+
+def with_long_spikes(readings: DataFrame) -> DataFrame:
+    """Three long meters, and a counter that is 20 kWh too high during every fourth half hour."""
+    minutes = F.timestamp_diff("MINUTE", F.lit(EPOCH).cast("timestamp_ntz"), F.col("timestamp"))
+    high = F.pmod(F.floor(minutes / 30), F.lit(4)) == 1
+    return readings.withColumns(
+        {METER: F.col(METER) % 3, "energy": F.col("energy") + F.when(high, 20.0).otherwise(0.0)}
+    )
