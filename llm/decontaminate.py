@@ -6,7 +6,7 @@ q-gram lemma such a stretch shares at least ``n - q + 1 - k * q`` q-grams with t
 diagonals (document place minus item place) at most k apart.
 
 One pass per block of items: every q-gram of the document is looked up in a table of the block's
-q-grams; stretches with too few hits for any item are left at once; hits of the others are counted
+q-grams; a place without a window of many hits in reach is left at once, as no item can lie there; all hits of the others are counted
 per item in bands of diagonals, each overlapping the next by half; bands that reach the item's
 bound are verified by an alignment within the band.
 """
@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import words as w
-from llm.store import BROADCAST_ROWS, written
+from llm.store import BROADCAST_ELEMENTS, BROADCAST_ROWS, written
+from llm.tasks import tidy
 
 
 @dataclass(frozen=True)
@@ -118,8 +119,10 @@ class _Block:
             self.grams, self.owner, self.place = grams[order], owner[order], place[order]
             self.table = np.zeros(1 << TABLE_BITS, bool)
             self.table[self.grams >> np.uint32(32 - TABLE_BITS)] = True
-            # A stretch of n + k characters lies in so many windows; one has its share of the hits.
+            # A stretch of n + k characters lies in so many windows; one has its share of the hits. All
+            # other hits of the stretch are within its length of that window.
             self.window = 64
+            self.reach = int(np.max(size + self.edits))
             self.least = int(np.min(-(-self.bound // -(-(size + self.edits) // self.window))))
 
     def find(self, codes: np.ndarray, starts: np.ndarray):
@@ -143,11 +146,10 @@ class _Block:
         rich = np.flatnonzero(total[self.window :] - total[: -self.window] >= self.least)
         if not len(rich):
             return found
-        cover = np.zeros(len(hit) + 1 + self.window, np.int32)
-        cover[rich[: np.searchsorted(rich, len(hit))]] += 1
-        cover[np.minimum(rich + self.window, len(cover) - 1)] -= 1
-        reach = np.cumsum(cover)[: len(hit)] > 0
-        at = np.flatnonzero(hit & reach)
+        cover = np.zeros(len(hit) + 1, np.int32)
+        np.add.at(cover, np.minimum(np.maximum(rich - self.reach, 0), len(hit)), 1)
+        np.add.at(cover, np.minimum(rich + self.window + self.reach, len(hit)), -1)
+        at = np.flatnonzero(hit & (np.cumsum(cover)[: len(hit)] > 0))
         text = np.searchsorted(starts, at, side="right") - 1
         inside = at + self.settings.q <= starts[text + 1]
         at, text = at[inside], text[inside]
@@ -271,7 +273,8 @@ def occurrences(
     out = None
     for block in _blocks(items, settings):
         shared = spark.sparkContext.broadcast(_Block(block, settings))
-        part = written(texts.mapInArrow(_scanned(shared), MATCHES), "occurrences")
+        part = written(texts.mapInArrow(tidy(_scanned(shared)), MATCHES), "occurrences")
+        shared.destroy()
         out = part if out is None else out.unionAll(part)
     return spark.createDataFrame([], MATCHES) if out is None else out
 
@@ -291,7 +294,9 @@ def flagged(docs: DataFrame, benchmark: DataFrame, settings: Decontamination = D
     docs = docs.drop("matches", "contaminated")
     few = found.agg(F.sum(F.size("matches"))).first()[0] or 0
     joined = docs.join(
-        F.broadcast(found) if few <= BROADCAST_ROWS else found, docs["doc_id"].cast("long") == found["_found_id"], "left"
+        F.broadcast(found) if few <= BROADCAST_ELEMENTS else found,
+        docs["doc_id"].cast("long") == found["_found_id"],
+        "left",
     )
     return joined.select(
         *docs.columns,

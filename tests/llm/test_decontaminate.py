@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from llm.decontaminate import Decontamination, banded, flagged, without_benchmark
+from llm.decontaminate import Decontamination, _Block, banded, flagged, without_benchmark
 from tests.llm.helpers import docs_of
 
 
@@ -70,3 +70,24 @@ def test_alignment_is_free_at_both_ends():
     codes = lambda s: np.array(list(map(ord, s)), np.uint32)
     assert banded(codes("abcdef"), codes("xxabXdefyy"), 2) == (2, 8, 1)
     assert banded(codes("abcdef"), codes("uvwxyz"), 3) is None
+
+
+def test_no_placement_of_the_budget_is_lost():
+    """Edits crowded into one part leave windows without hits there; the others must still count."""
+    random.seed(11)
+    settings = Decontamination()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for n in (210, 260, 400):
+        item = "".join(random.choices(letters, k=n))
+        block = _Block([(7, item), (8, "".join(random.choices(letters, k=120)))], settings)
+        k = settings.edits(n)
+        places = [list(range(start, start + 8 * k, 8)) for start in (0, 22, n - 8 * k)]
+        places += [sorted(random.sample(range(n), k)) for _ in range(40)]
+        for at in places:
+            text = list(item)
+            for i in at:
+                text[i] = "#"
+            text = "".join(random.choices(letters, k=90)) + "".join(text) + "".join(random.choices(letters, k=300))
+            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            found = block.find(codes, np.array([0, len(codes)]))
+            assert [(f[1], f[4]) for f in found] == [(7, k)], (n, at)
