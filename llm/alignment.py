@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from llm import words as w
 from llm.rolling import Rolling
 from llm.store import drop, written
+from llm.tasks import tidy
 from llm.tokens import _byte_letters
 
 #: Texts are encoded some at a time; longer ones in parts of this many characters.
@@ -523,7 +524,7 @@ def alignments(docs: DataFrame, key: str, byte_path: str, piece_path: str) -> Da
     fields = [T.StructField("row", T.LongType()), T.StructField("key", docs.schema[key].dataType)]
     fields += [T.StructField(c, T.LongType()) for c in MEASURES]
     fields += [T.StructField("groups_sha256", T.StringType()), *[T.StructField(c, T.BinaryType()) for c in ("pairs", "times")]]
-    aligned = written(source.mapInArrow(_aligner(byte_path, piece_path), T.StructType(fields)), "aligned")
+    aligned = written(source.mapInArrow(tidy(_aligner(byte_path, piece_path)), T.StructType(fields)), "aligned")
 
     partial = aligned.select("pairs").mapInArrow(_counted, "pair long, n long")
     counts = written(partial.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")

@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from llm import words as w
 from llm.sets import PackedSets, split_crowds, whole_keys
-from llm.store import BROADCAST_ROWS, drop, partitions, sized_join, written
+from llm.store import BROADCAST_ELEMENTS, drop, partitions, sized_join, written
+from llm.tasks import tidy
 
 CELL_BITS = 20
 CELLS = 1 << CELL_BITS
@@ -151,7 +152,7 @@ def _levels(survey: DataFrame) -> np.ndarray:
         survey.where("block is not null")
         .select("block", "counts")
         .repartition(BLOCKS, "block")
-        .mapInArrow(_added, "block int, counts binary")
+        .mapInArrow(tidy(_added), "block int, counts binary")
         .collect()
     )
     counts = np.zeros((BLOCKS, CELLS // BLOCKS), np.int64)
@@ -446,17 +447,17 @@ def _links(texts: DataFrame, survey: DataFrame, classes: DataFrame, settings: Li
     """(a, b, n_links, partner): for each class with a match, the number of matching classes and the earliest."""
     spark = texts.sparkSession
     levels = spark.sparkContext.broadcast(_levels(survey))
-    index = texts.mapInArrow(_indexed(settings, levels), INDEXED)
+    index = texts.mapInArrow(tidy(_indexed(settings, levels)), INDEXED)
     many = partitions(spark)
     marked = written(
-        index.repartition(many, "key").sortWithinPartitions("key", "size", "a").mapInArrow(_with_partner(settings), INDEXED),
+        index.repartition(many, "key").sortWithinPartitions("key", "size", "a").mapInArrow(tidy(_with_partner(settings)), INDEXED),
         "marked",
     )
     concerned = written(
         classes.join(marked.select("a").distinct(), "a").groupBy("id").agg(F.collect_list("line").alias("lines")),
         "concerned",
     )
-    sets = written(sized_join(texts, concerned, ["id"], "inner").mapInArrow(_line_sets(levels), SETS), "sets")
+    sets = written(sized_join(texts, concerned, ["id"], "inner").mapInArrow(tidy(_line_sets(levels)), SETS), "sets")
     heads = sets.join(marked.distinct(), "a").select(
         "key", "depth", "a", "b", "size", "place", *BITS, F.expr("substring(tokens, 1, 8 * (place + 1))").alias("tokens")
     )
@@ -464,14 +465,14 @@ def _links(texts: DataFrame, survey: DataFrame, classes: DataFrame, settings: Li
         split_crowds(heads, settings.block_rows, "a", "b", of=marked.distinct())
         .repartition(many, "key")
         .sortWithinPartitions("key", "size")
-        .mapInArrow(_owning(settings), "key long, depth int, a long, b long, place int, left long, apart boolean"),
+        .mapInArrow(tidy(_owning(settings)), "key long, depth int, a long, b long, place int, left long, apart boolean"),
         "owners",
     )
     found = (
         owners.join(sets, ["a", "b"])
         .repartition(many, "key")
         .sortWithinPartitions("key")
-        .mapInArrow(_verified(settings), "a long, b long, n_links long, id long, line int")
+        .mapInArrow(tidy(_verified(settings)), "a long, b long, n_links long, id long, line int")
     )
     links = written(
         found.groupBy("a", "b").agg(
@@ -479,6 +480,7 @@ def _links(texts: DataFrame, survey: DataFrame, classes: DataFrame, settings: Li
         ),
         "links",
     )
+    levels.destroy()
     drop(spark, marked, concerned, sets, owners)
     return links
 
@@ -499,7 +501,7 @@ def matched_lines(
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where(
         "id is not null and text is not null"
     )
-    survey = written(texts.mapInArrow(_surveyed, SURVEYED), "survey")
+    survey = written(texts.mapInArrow(tidy(_surveyed), SURVEYED), "survey")
     lines = survey.where("block is null").select("id", "line", "a", "b")
     classes = written(
         lines.groupBy("a", "b")
@@ -545,7 +547,7 @@ def _without(text_at: int, gone_at: int):
     """Cuts the numbered lines out of each text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (piece for x in batches for piece in w.pieces(x, x.schema.names[text_at], 1 << 20)):
             texts, gone = batch.column(text_at), batch.column(gone_at)
             out = texts
             if gone.null_count < len(gone):
@@ -575,11 +577,11 @@ def dedup_lines(
     columns = [*docs.columns, "matched_lines"]
     key = docs[id_column].cast("long") == found["_line_dedup_id"]
     few = found.agg(F.sum(F.size("matched_lines"))).first()[0] or 0
-    joined = docs.join(F.broadcast(found) if few <= BROADCAST_ROWS else found, key, "left").select(
+    joined = docs.join(F.broadcast(found) if few <= BROADCAST_ELEMENTS else found, key, "left").select(
         *columns,
         F.transform(F.filter("matched_lines", lambda x: x["removed"]), lambda x: x["line"]).alias("_gone"),
     )
-    edited = joined.mapInArrow(_without(columns.index(text_column), len(columns)), joined.schema)
+    edited = joined.mapInArrow(tidy(_without(columns.index(text_column), len(columns))), joined.schema)
     return edited.select(*columns)
 
 

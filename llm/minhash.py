@@ -26,6 +26,7 @@ from llm import words as w
 from llm.graph import components
 from llm.sets import PackedSets, split_crowds, whole_keys
 from llm.store import BROADCAST_ROWS, drop, partitions, sized_join, written
+from llm.tasks import tidy
 
 
 @dataclass(frozen=True)
@@ -202,18 +203,18 @@ def _linked(pairs: DataFrame, signed: DataFrame, docs: DataFrame, settings: MinH
     likely = written(
         pairs.join(sides.select(F.col("id").alias("a"), F.col("signature").alias("signature_a")), "a")
         .join(sides.select(F.col("id").alias("b"), F.col("signature").alias("signature_b")), "b")
-        .mapInArrow(_agreeing(settings.least_agreement), "a long, b long"),
+        .mapInArrow(tidy(_agreeing(settings.least_agreement)), "a long, b long"),
         "likely",
     )
     concerned = written(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "concerned")
     sets = written(
-        sized_join(docs, concerned, ["id"], "left_semi").mapInArrow(_sets(settings.shingle), "rep long, set binary"),
+        sized_join(docs, concerned, ["id"], "left_semi").mapInArrow(tidy(_sets(settings.shingle)), "rep long, set binary"),
         "sets",
     )
     links = written(
         likely.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a")
         .join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b")
-        .mapInArrow(_similar(settings.numerator, settings.denominator), "a long, b long"),
+        .mapInArrow(tidy(_similar(settings.numerator, settings.denominator)), "a long, b long"),
         "similar",
     )
     drop(spark, likely, concerned, sets)
@@ -293,7 +294,7 @@ def _within_buckets(buckets: DataFrame, signed: DataFrame, docs: DataFrame, sett
     mixed = written(known.join(several, "key", "left_semi"), "mixed")
     concerned = written(mixed.select(F.col("rep").alias("id")).distinct(), "concerned")
     sets = written(
-        sized_join(docs, concerned, ["id"], "left_semi").mapInArrow(_sets(settings.shingle), "rep long, set binary"),
+        sized_join(docs, concerned, ["id"], "left_semi").mapInArrow(tidy(_sets(settings.shingle)), "rep long, set binary"),
         "sets",
     )
     more = written(
@@ -301,7 +302,7 @@ def _within_buckets(buckets: DataFrame, signed: DataFrame, docs: DataFrame, sett
         .join(sets, "rep")
         .repartition(partitions(docs.sparkSession), "key")
         .sortWithinPartitions("key")
-        .mapInArrow(_tying(settings), "a long, b long")
+        .mapInArrow(tidy(_tying(settings)), "a long, b long")
         .distinct(),
         "links",
     )
@@ -323,7 +324,7 @@ def near_duplicates(
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where(
         "id is not null"
     )
-    signed = written(texts.mapInArrow(_signed(settings), SIGNED), "signatures")
+    signed = written(texts.mapInArrow(tidy(_signed(settings)), SIGNED), "signatures")
     shingled = signed.where("n_shingles > 0")
     same = ["digest_a", "digest_b", "n_shingles"]
     classes = written(shingled.groupBy(*same).agg(F.min("id").alias("rep")), "classes")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from llm import words as w
 from llm.store import partitions, written
+from llm.tasks import tidy
 from llm.tokens import default_vocabulary, encoder
 
 
@@ -122,7 +123,7 @@ def _counted(path: str):
 def token_lengths(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, n_tokens): token ids of each text and an end id; null and empty texts have just that."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(_counted(vocabulary or default_vocabulary()), "doc_id long, n_tokens long")
+    return texts.mapInArrow(tidy(_counted(vocabulary or default_vocabulary()), keep=True), "doc_id long, n_tokens long")
 
 
 def pack_lengths(lengths: DataFrame, settings: Packing = Packing()) -> DataFrame:

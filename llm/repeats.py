@@ -30,6 +30,7 @@ from llm.rolling import Rolling
 from llm.sets import whole_keys
 from llm.skew import even_join, hot_keys
 from llm.store import drop, written
+from llm.tasks import tidy
 
 #: Texts are read in blocks of so many windows.
 BLOCK = 1 << 19
@@ -272,7 +273,7 @@ def repeated_windows(docs: DataFrame, rules: RepeatRules) -> DataFrame:
     ``docs`` has row and text; ``starts`` are runs (start, n) of places. Rows without such a place are left out.
     """
     spark = docs.sparkSession
-    found = docs.where(F.octet_length("text") >= rules.length).mapInArrow(_scan(rules), OCCURRENCE)
+    found = docs.where(F.octet_length("text") >= rules.length).mapInArrow(tidy(_scan(rules)), OCCURRENCE)
     grams = found.groupBy("gram").agg(
         F.count("*").alias("members"), (F.min("around") < F.max("around")).alias("mixed")
     )
@@ -288,10 +289,10 @@ def repeated_windows(docs: DataFrame, rules: RepeatRules) -> DataFrame:
 
     ask = F.struct("gram", F.col("one.start").alias("start"), F.col("one.n").alias("n"), F.col("one.off").alias("off"), F.least("c", F.lit(2)).cast("int").alias("weight"))
     asks = alike.groupBy(F.col("one.row").alias("row")).agg(F.collect_list(ask).alias("asks"))
-    cut = docs.join(asks, "row").mapInArrow(_contexts(rules), CONTEXT)
+    cut = docs.join(asks, "row").mapInArrow(tidy(_contexts(rules)), CONTEXT)
     members = _spread(written(cut, "members"), rules)
     several = members.where("low < high").repartition("key").sortWithinPartitions("key")
-    by_bytes = several.mapInArrow(_refine(rules), "row binary, start long, n int")
+    by_bytes = several.mapInArrow(tidy(_refine(rules)), "row binary, start long, n int")
     single = members.where("low = high").drop("bytes", "low", "high")
     weights = written(single.groupBy("key", "gram").agg(F.sum("weight").alias("c")), "weights")
     hot_single = hot_keys(weights, ["key", "gram"], "c")
@@ -357,7 +358,7 @@ def without_repeats(docs: DataFrame, key: str, rules: RepeatRules = RepeatRules(
         T.StructField("key", kind), T.StructField("n_bytes", T.LongType()), T.StructField("spans", span),
         T.StructField("kept", T.BinaryType()),
     ])
-    out = source.join(starts, "row", "left").select("key", "text", "starts").mapInArrow(_cut(rules), schema)
+    out = source.join(starts, "row", "left").select("key", "text", "starts").mapInArrow(tidy(_cut(rules)), schema)
     return out.withColumnRenamed("key", key)
 
 

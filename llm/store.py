@@ -11,20 +11,27 @@ from pyspark.sql import functions as F
 from meterline.operators.pinning import ensure_checkpoint_dir
 
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextmanager
 def freed_shuffles(spark: SparkSession):
-    """Shuffle files of what runs inside go when it ends: its result is a table by then."""
-    before = spark.conf.get(FREE_SHUFFLES, None)
-    spark.conf.set(FREE_SHUFFLES, "true")
+    """Shuffle files of what runs inside go when it ends: its result is a table by then.
+
+    Batches that go to Python hold 4 MB inside, since executor and worker keep some of them at a time.
+    """
+    wanted = {FREE_SHUFFLES: "true", BATCH_BYTES: str(4 << 20)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(FREE_SHUFFLES)
-        else:
-            spark.conf.set(FREE_SHUFFLES, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -58,6 +65,10 @@ def partitions(spark: SparkSession) -> int:
 BROADCAST_ROWS = 1_000_000
 
 
+#: The same for rows that hold arrays, by the number of their elements.
+BROADCAST_ELEMENTS = 1 << 16
+
+
 def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
     """A join with a written table of narrow rows: broadcast while its counted rows are few, else shuffled."""
     if small.count() <= BROADCAST_ROWS:

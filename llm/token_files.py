@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from llm import words as w
 from llm.store import freed_shuffles, new_folder, partitions
+from llm.tasks import tidy
 from llm.tokens import default_vocabulary, encoder
 
 
@@ -89,7 +90,7 @@ def write_tokens(
     out = (
         texts.repartitionByRange(partitions(spark), "doc_id")
         .sortWithinPartitions("doc_id")
-        .mapInArrow(_encoded(vocabulary or default_vocabulary(), end_id), ENCODED)
+        .mapInArrow(tidy(_encoded(vocabulary or default_vocabulary(), end_id), keep=True), ENCODED)
     )
     with freed_shuffles(spark):
         out.write.options(**layout.options()).orc(folder)

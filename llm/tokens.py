@@ -8,11 +8,15 @@ words go through the tokenizers library. The memory is bounded: at ``max_words``
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+from llm import tasks
 from llm import words as w
 
 
@@ -51,21 +55,26 @@ def _parted(text: w.Words) -> w.Words:
 
 
 class Encoder:
-    """Encodes Arrow string columns; strings of special tokens in a text are ordinary text."""
+    """Encodes Arrow string columns as the tokenizers library does, special tokens not added.
+
+    The library looks for the strings of special tokens before it does anything else, within words too. Texts
+    with such a string go through it whole; all others word by word.
+    """
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, max_words: int = 2_000_000):
+    def __init__(self, path: str, max_words: int = 500_000):
         import regex
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.final = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, number in vocabulary.items():
             self.final[number] = token.endswith("</w>")
+        special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = "|".join(map(re.escape, special))
         self.parts = regex.compile(self.PATTERN)
         self.letters = regex.compile(r"[\p{L}]+")
         self.bytes = _byte_letters()
@@ -152,22 +161,50 @@ class Encoder:
             at = np.searchsorted(self.known, hashes)
         return text, self.slot[at][inverse] if len(hashes) else np.zeros(0, np.int64)
 
+    def _apart(self, column) -> tuple[object, np.ndarray, list[np.ndarray]]:
+        """The column with texts that hold special strings made empty, the places of these, and their ids."""
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        if not self.special:
+            return column, np.zeros(0, np.int64), []
+        held = pc.fill_null(pc.match_substring_regex(column, self.special), False)
+        at = np.flatnonzero(held.to_numpy(zero_copy_only=False))
+        if not len(at):
+            return column, at, []
+        whole = self.tokenizer.encode_batch_fast(column.take(pa.array(at)).to_pylist(), add_special_tokens=False)
+        return pc.if_else(held, pa.scalar("", column.type), column), at, [np.array(x.ids, np.int32) for x in whole]
+
     def counts(self, column) -> np.ndarray:
         """The number of ids of each text."""
+        column, apart, ids = self._apart(column)
         text, entry = self.places(column)
         total = np.r_[0, np.cumsum(self.size[entry])]
-        return total[text.first + text.count] - total[text.first]
+        out = total[text.first + text.count] - total[text.first]
+        out[apart] = [len(x) for x in ids]
+        return out
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts and where each text's begin (and the last one's end)."""
+        column, apart, ids = self._apart(column)
         text, entry = self.places(column)
         size = self.size[entry]
         total = np.r_[0, np.cumsum(size)]
         at = np.arange(total[-1]) + np.repeat(self.start[entry] - total[:-1], size)
-        return self.pool[at], np.r_[total[text.first], total[-1]]
-
-
-@lru_cache(maxsize=2)
+        flat, starts = self.pool[at], np.r_[total[text.first], total[-1]]
+        if len(apart):
+            # The ids of the texts taken apart go in where their empty places are.
+            cuts = np.split(flat, starts[apart])
+            flat = np.concatenate([cuts[0], *chain.from_iterable(zip(ids, cuts[1:]))])
+            more = np.zeros(len(starts), np.int64)
+            more[apart + 1] = [len(x) for x in ids]
+            starts = starts + np.cumsum(more)
+        return flat, starts
+
+
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One encoder a worker process."""
+    """One encoder a worker process, until a task of another kind comes."""
     return Encoder(path)
+
+
+tasks.keeps(encoder.cache_clear)

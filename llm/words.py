@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from llm import tasks
+
 NEWLINE = 0x0A
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -25,6 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _powers: dict[int, np.ndarray] = {}
+tasks.keeps(_powers.clear)
 
 
 def _powers_of(base: int, n: int) -> np.ndarray:

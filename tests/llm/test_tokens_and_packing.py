@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from tokenizers import Tokenizer
 
 from llm.packing import Packing, pack, pack_lengths
 from llm.store import new_folder
@@ -24,11 +25,15 @@ def odd_texts(n, seed=1):
 
 def test_encoder_equals_the_library():
     coder = Encoder(default_vocabulary(), max_words=500)  # forgets now and then
-    texts = [*odd_texts(3000), None, "", "word. word, Word"]
+    plain = Tokenizer.from_file(default_vocabulary())  # as it is in the file
+    special = ["a <|endoftext|> b", "x<|startoftext|>Y<|endoftext|>", "<|EndOfText|> <|endoftext|", "<|endoftext|>"]
+    assert plain.encode(special[0], add_special_tokens=False).ids == [320, 49407, 321]
+    texts = [*odd_texts(3000), None, "", "word. word, Word", *special, "", *special[:2], "end"]
     for i in range(0, len(texts), 100):
         part = texts[i : i + 100]
         ids, starts = coder.encode(pa.array(part, pa.string()))
-        want = coder.tokenizer.encode_batch([x or "" for x in part], add_special_tokens=False)
+        want = plain.encode_batch([x or "" for x in part], add_special_tokens=False)
+        assert coder.counts(pa.array(part, pa.string())).tolist() == [len(x.ids) for x in want]
         assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == [x.ids for x in want]
 
 
