@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import words as w
+from llm.rows import numbered
 from llm.sets import PackedSets, split_crowds, whole_keys
 from llm.store import BROADCAST_ELEMENTS, drop, partitions, sized_join, written
 from llm.tasks import tidy
@@ -109,7 +110,7 @@ def _surveyed(batches):
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column("id").take(pa.array(lines.text)),
-                    pa.array(lines.number.astype(np.int32)),
+                    pa.array((lines.number + piece.column("first").to_numpy()[lines.text]).astype(np.int32)),
                     pa.array(lines.a),
                     pa.array(lines.b),
                     pa.nulls(rows, pa.int32()),
@@ -292,7 +293,8 @@ def _line_sets(levels):
                 wanted = piece.column("lines")
                 counts = wanted.value_lengths().to_numpy()
                 pair = np.repeat(np.arange(len(counts)), counts) << 32 | wanted.flatten().to_numpy()
-                chosen = np.isin(lines.text << 32 | lines.number, pair)
+                number = lines.number + piece.column("first").to_numpy()[lines.text]
+                chosen = np.isin(lines.text << 32 | number, pair)
                 owner, token = lines.sets(chosen, levels.value)
                 n = int(chosen.sum())
                 ends = 8 * np.searchsorted(owner, np.arange(n + 1))
@@ -301,7 +303,7 @@ def _line_sets(levels):
                         pa.array(lines.a[chosen]),
                         pa.array(lines.b[chosen]),
                         piece.column("id").take(pa.array(lines.text[chosen])),
-                        pa.array(lines.number[chosen].astype(np.int32)),
+                        pa.array(number[chosen].astype(np.int32)),
                         pa.Array.from_buffers(
                             pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(token.tobytes())]
                         ).cast(pa.binary()),
@@ -495,12 +497,26 @@ def matched_lines(
 
     A class holds the lines of one word sequence (A-Z in lower case) and is named by its first line;
     ``n_links`` counts the other classes that match it; ``removed`` marks a line with an earlier
-    match. Documents without such a line have no row. Ids must be unique, rows with a null id or
+    match. Documents without such a line have no row. Rows that share an id are numbered as one document,
+    in order of text, so the lines of the second go on where those of the first end. Rows with a null id or
     text have no lines. An empty table gives no rows.
     """
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where(
-        "id is not null and text is not null"
-    )
+    return _matched(numbered(docs, id_column, text_column, _line_count(text_column), FIRST)[0], id_column, text_column, settings)
+
+
+FIRST = "_first_line"
+
+
+def _line_count(text_column: str):
+    return F.coalesce(F.size(F.split(F.col(text_column).cast("string"), "\n", -1)), F.lit(0))
+
+
+def _matched(docs: DataFrame, id_column: str, text_column: str, settings: LineDedup) -> DataFrame:
+    texts = docs.select(
+        F.col(id_column).cast("long").alias("id"),
+        F.col(text_column).cast("string").alias("text"),
+        F.col(FIRST).alias("first"),
+    ).where("id is not null and text is not null")
     survey = written(texts.mapInArrow(tidy(_surveyed), SURVEYED), "survey")
     lines = survey.where("block is null").select("id", "line", "a", "b")
     classes = written(
@@ -568,16 +584,23 @@ def dedup_lines(
     """The documents without the lines that match an earlier line, with the column ``matched_lines``.
 
     Every document stays, in any case with its other columns (a column of that name is replaced); a
-    document whose lines all go keeps the empty text. Null texts stay null.
+    document whose lines all go keeps the empty text. Null texts stay null. Rows that share an id are documents of
+    their own: the later of equal ones loses its lines, others only lines that an earlier one has, too.
     """
-    found = matched_lines(docs, id_column, text_column, settings).select(
+    columns = [*[c for c in docs.columns if c != "matched_lines"], "matched_lines"]
+    docs, shared = numbered(docs.drop("matched_lines"), id_column, text_column, _line_count(text_column), FIRST)
+    found = _matched(docs, id_column, text_column, settings).select(
         F.col(id_column).alias("_line_dedup_id"), F.col("lines").alias("matched_lines")
     )
-    docs = docs.drop("matched_lines")
-    columns = [*docs.columns, "matched_lines"]
     key = docs[id_column].cast("long") == found["_line_dedup_id"]
     few = found.agg(F.sum(F.size("matched_lines"))).first()[0] or 0
-    joined = docs.join(F.broadcast(found) if few <= BROADCAST_ELEMENTS else found, key, "left").select(
+    joined = docs.join(F.broadcast(found) if few <= BROADCAST_ELEMENTS else found, key, "left")
+    if shared:
+        here = F.col("matched_lines")
+        own = F.filter(here, lambda x: (x["line"] >= F.col(FIRST)) & (x["line"] < F.col(FIRST) + _line_count(text_column)))
+        own = F.transform(own, lambda x: x.withField("line", (x["line"] - F.col(FIRST)).cast("int")))
+        joined = joined.withColumn("matched_lines", F.when(F.size(own) > 0, own))
+    joined = joined.select(
         *columns,
         F.transform(F.filter("matched_lines", lambda x: x["removed"]), lambda x: x["line"]).alias("_gone"),
     )

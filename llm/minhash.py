@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from llm import words as w
 from llm.graph import components
+from llm.rows import numbered
 from llm.sets import PackedSets, split_crowds, whole_keys
+from llm.skew import even_join, hot_keys
 from llm.store import BROADCAST_ROWS, drop, partitions, sized_join, written
 from llm.tasks import tidy
 
@@ -318,12 +320,49 @@ def near_duplicates(
     Two documents are linked if their shingle sets have a similarity of at least
     ``numerator / denominator``; ``component_id`` is the smallest id that a chain of links reaches and
     ``kept`` marks that document. A text that is null, empty or without words has no shingle and is
-    linked with nothing. Ids must be unique; rows with a null id are left out. Other columns are not
+    linked with nothing. Rows that share an id are documents of their own, each with a row; of those that could
+    be kept, the first by text is. Rows with a null id are left out. Other columns are not
     looked at. An empty table gives no rows.
     """
+    return _told_apart(docs, id_column, text_column, settings)[0].drop(TURN)
+
+
+TURN = "_turn"
+
+
+def _told_apart(docs: DataFrame, id_column: str, text_column: str, settings: MinHash) -> tuple[DataFrame, bool]:
+    """The result with ``_turn``, the row's number among those of its id; and whether any id is shared."""
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).where(
         "id is not null"
     )
+    texts, shared = numbered(texts, "id", "text", F.lit(1), TURN)
+    if not shared:
+        found = _classed(texts, settings)
+        kept = (F.col("id") == F.col("component_id")).alias("kept")
+        return found.select(F.col("id").alias(id_column), "n_shingles", "component_id", kept, F.lit(0).cast("long").alias(TURN)), False
+    # All but the first row of an id stand under numbers that are no ids.
+    low, high = texts.agg(F.min("id"), F.max("id")).first()
+    number = F.monotonically_increasing_id()
+    unused = F.lit(high) + 1 + number if high < 1 << 61 else F.lit(low) - 1 - number
+    more = written(texts.where(F.col(TURN) > 0).select("id", TURN).repartition("id", TURN).withColumn("other", unused), "more")
+    renamed = texts.join(more, ["id", TURN], "left").select(F.coalesce("other", "id").alias("id"), "text")
+    found = _classed(written(renamed, "texts"), settings).withColumnRenamed("component_id", "part")
+    back = more.select(F.col("other").alias("id"), F.col("id").alias("true_id"), TURN)
+    found = found.join(back, "id", "left").withColumn("true_id", F.coalesce("true_id", "id"))
+    found = written(found.withColumn(TURN, F.coalesce(TURN, F.lit(0).cast("long"))), "found")
+    tops = written(
+        found.groupBy("part").agg(F.count("*").alias("n"), F.min(F.struct("true_id", TURN, "id")).alias("top")), "tops"
+    )
+    hot = hot_keys(tops, ["part"], "n")
+    out = even_join(found, tops.select("part", "top"), ["part"], hot, ["id"])
+    return out.select(
+        F.col("true_id").alias(id_column), "n_shingles", F.col("top.true_id").alias("component_id"),
+        (F.col("id") == F.col("top.id")).alias("kept"), TURN,
+    ), True
+
+
+def _classed(texts: DataFrame, settings: MinHash) -> DataFrame:
+    """(id, n_shingles, component_id) of texts with ids of their own."""
     signed = written(texts.mapInArrow(tidy(_signed(settings)), SIGNED), "signatures")
     shingled = signed.where("n_shingles > 0")
     same = ["digest_a", "digest_b", "n_shingles"]
@@ -343,9 +382,7 @@ def near_duplicates(
     )
     found = shingled.select("id", *same).join(named, same).select("id", "n_shingles", "component_id")
     alone = signed.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
-    return found.unionAll(alone).select(
-        F.col("id").alias(id_column), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept")
-    )
+    return found.unionAll(alone)
 
 
 def keep_first(docs: DataFrame, settings: MinHash = MinHash()) -> DataFrame:
@@ -353,11 +390,15 @@ def keep_first(docs: DataFrame, settings: MinHash = MinHash()) -> DataFrame:
 
     Documents without an id are not compared and stay. Only the ids that go are joined.
     """
-    gone = written(
-        near_duplicates(docs, settings=settings).where("not kept").select(F.col("doc_id").alias("_gone")), "gone"
-    )
+    found, shared = _told_apart(docs, "doc_id", "text", settings)
+    gone = written(found.where("not kept").select(F.col("doc_id").alias("_gone"), F.col(TURN).alias("_gone_turn")), "gone")
     small = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(small, docs["doc_id"].cast("long") == small["_gone"], "left_anti")
+    same = docs["doc_id"].cast("long") == small["_gone"]
+    if not shared:
+        return docs.join(small, same, "left_anti")
+    told, _ = numbered(docs, "doc_id", "text", F.lit(1), TURN)
+    same = (told["doc_id"].cast("long") == small["_gone"]) & (told[TURN] == small["_gone_turn"])
+    return told.join(small, same, "left_anti").select(*docs.columns)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
