@@ -65,8 +65,8 @@ def partitions(spark: SparkSession) -> int:
 BROADCAST_ROWS = 1_000_000
 
 
-#: The same for rows that hold arrays, by the number of their elements.
-BROADCAST_ELEMENTS = 1 << 16
+#: The same for rows that hold arrays, by the number of their elements (up to 40 bytes each).
+BROADCAST_ELEMENTS = 1_000_000
 
 
 def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:

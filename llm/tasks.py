@@ -12,9 +12,10 @@ import pyarrow as pa
 _kept: list[Callable[[], object]] = []
 
 
-def keeps(clear: Callable[[], object]) -> None:
+def keeps(clear: Callable[[], object]) -> Callable[[], object]:
     """Register what empties a module's cache; tasks of other modules call it."""
     _kept.append(clear)
+    return clear
 
 
 def _give_back() -> None:

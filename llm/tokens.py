@@ -63,7 +63,7 @@ class Encoder:
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, max_words: int = 500_000):
+    def __init__(self, path: str, max_words: int = 1_000_000):
         import regex
         from tokenizers import Tokenizer
 

@@ -27,7 +27,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _powers: dict[int, np.ndarray] = {}
-tasks.keeps(_powers.clear)
+
+
+@tasks.keeps
+def _forget_long() -> None:
+    """Powers beyond what usual texts need go; a very long text has asked for them."""
+    for base in [b for b, known in _powers.items() if len(known) > 1 << 20]:
+        del _powers[base]
 
 
 def _powers_of(base: int, n: int) -> np.ndarray:
