@@ -1,4 +1,4 @@
-"""Values carried from one meter to the next, over a summary of one row per meter."""
+"""Values carried from one key to the next, over a summary of one row per meter or strip."""
 
 from __future__ import annotations
 
@@ -18,25 +18,31 @@ def _before(order: str, *block: str):
 
 
 def exclusive_scan(
-    summary: DataFrame, sums: list[str], lasts: list[str], rows: int, single_task_rows: int
+    summary: DataFrame,
+    sums: list[str],
+    lasts: list[str],
+    rows: int,
+    single_task_rows: int,
+    key: str = METER,
+    bits: int = BITS,
 ) -> DataFrame:
-    """Sum and latest non-null value over all meters below each meter, as ``before_<name>``.
+    """Sum and latest non-null value over all keys below each key, as ``before_<name>``.
 
     ``rows`` is the counted size of ``summary``. Up to ``single_task_rows`` one window does; above,
-    meters are scanned in blocks of at most 2**21 ids, the block totals in blocks again, so no
+    keys are scanned in blocks of at most 2**bits numbers, the block totals in blocks again, so no
     task ever sees more than one block.
     """
     if rows <= single_task_rows:
-        window = _before(METER)
+        window = _before(key)
         return summary.select(
-            METER,
+            key,
             *[F.coalesce(F.sum(n).over(window), F.lit(0)).alias(f"before_{n}") for n in sums],
             *[F.last(n, ignorenulls=True).over(window).alias(f"before_{n}") for n in lasts],
         )
 
-    levels = [METER, "_block", "_superblock"]
-    summary = summary.withColumn("_block", F.shiftright(F.col(METER), BITS)).withColumn(
-        "_superblock", F.shiftright(F.col(METER), 2 * BITS)
+    levels = [key, "_block", "_superblock"]
+    summary = summary.withColumn("_block", F.shiftright(F.col(key), bits)).withColumn(
+        "_superblock", F.shiftright(F.col(key), 2 * bits)
     )
     scanned = []
     for depth, level in enumerate(levels):
@@ -62,7 +68,7 @@ def exclusive_scan(
         return how([F.col(f"_{depth}_{name}") for depth in range(len(levels))])
 
     return joined.select(
-        METER,
+        key,
         *[
             combine(n, lambda cs: reduce(lambda a, b: a + b, cs)).alias(f"before_{n}")
             for n in sums

@@ -24,12 +24,14 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from meterline.operators.pinning import pin
+from meterline.operators.scan import exclusive_scan
 from meterline.params import Scale
 from meterline.schema import METER, TS
 
 POS = "_pos"
 STRIP = "_strip"
 LONE = "_lone"  # tells rows without a meter number apart, 0 for all others
+STRIP_BITS = 12  # strips of a stacked frame are scanned in blocks of so many bits
 HALF = 33  # monotonically_increasing_id keeps the partition in the bits above this one
 
 
@@ -141,17 +143,23 @@ class Layout:
             ],
             *[F.sum(c).alias(n) for n, c in sums.items()],
         )
-        # One row per strip, so a stacked frame of N rows scans N / strip_rows of them here.
-        earlier = (
-            Window.partitionBy(*(self.group or [F.lit(0)]))
-            .orderBy(STRIP)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        carried = edges.select(
-            *self.keys,
-            *[F.last(n, ignorenulls=True).over(earlier)["v"].alias(f"_c_{n}") for n in lasts],
-            *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums],
-        )
+        if self.stacked:
+            # The strips of all meters follow each other: scanned in blocks, and blocks of blocks.
+            scanned = exclusive_scan(edges, list(sums), list(lasts), 1, 0, STRIP, STRIP_BITS)
+            carried = scanned.select(
+                STRIP,
+                *[F.col(f"before_{n}")["v"].alias(f"_c_{n}") for n in lasts],
+                *[F.col(f"before_{n}").alias(f"_c_{n}") for n in sums],
+            )
+        else:
+            earlier = (
+                Window.partitionBy(*self.group).orderBy(STRIP).rowsBetween(Window.unboundedPreceding, -1)
+            )
+            carried = edges.select(
+                *self.keys,
+                *[F.last(n, ignorenulls=True).over(earlier)["v"].alias(f"_c_{n}") for n in lasts],
+                *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_c_{n}") for n in sums],
+            )
         df = df.withColumns(found).join(carried, self.keys, "left")
         df = df.withColumns(
             {n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in lasts}

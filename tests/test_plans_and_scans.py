@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 import meterline as m
+from meterline.operators import timeline
 from meterline.operators.despike import despike_frame
 from meterline.operators.scan import exclusive_scan
 from meterline.operators.sessions import session_frame
@@ -30,6 +31,22 @@ def test_spikes_rules_and_bounds_share_one_exchange(spark, tmp_path):
     assert "SinglePartition" not in text and "Python" not in text
 
 
+def test_strips_of_a_stacked_frame_scan_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(timeline, "STRIP_BITS", 2)
+    df = spark.range(1000).select((F.col("id") % 7).alias("meter_number"), F.col("id"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("timestamp"), (F.col("id") % 3).alias("n"))
+    frame = Frame.stacked(df, Scale(strip_rows=10))
+    part = frame.parts[0]
+    value = F.when(F.col("n") == 0, F.col("id"))
+    done = part.layout.running(part.df, lasts={"latest": value}, sums={"total": F.col("n")})
+    text = plan(done)
+    # One task sees the totals of superblocks (2 ** 24 strips each) alone; strips are scanned by block.
+    assert text.count("SinglePartition") == 1 and "windowspecdefinition(_block#" in text and "windowspecdefinition(_superblock#" in text
+    total, latest = 0, None
+    for row in done.orderBy(timeline.POS).collect():
+        total, latest = total + row["n"], row["id"] if row["n"] == 0 else latest
+        assert (row["total"], row["latest"]) == (total, latest)
+
+
 def test_meter_filter_reaches_the_scan(spark, tmp_path):
     text = plan(of_meter(m.remove_spikes(stored(spark, tmp_path)), 1))
     assert "EqualTo(meter_number,1)" in text
