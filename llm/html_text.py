@@ -1,24 +1,27 @@
 """Main text of web pages by a site style tree.
 
 Pages of one host are merged by presentation: a node stands for all elements with one path of block
-tags and classes. Its importance says how much it varies from page to page:
+tags and classes; a heading belongs to the element around it. Its importance says how much it varies from page to page:
 
-* content: one minus the mean entropy of its texts' spread over pages, so a text on every page counts 0
-  and one on a single page counts 1;
-* presentation: the entropy of the child sequences it has on different pages;
-* both together as ``(1 - g^s) * presentation + g^s * content`` with s different child sequences.
+* content: one minus the mean entropy of its features' spread over pages, so a feature on every page counts 0
+  and one on a single page counts 1. Features are the words of short blocks, such as menus, adverts and footers that
+  differ in some word, and the clauses of longer ones;
+* presentation: the entropy of the child sequences that the element around it has on different pages;
+* both together as ``1 - (1 - presentation) * (1 - content)``: either kind of variety makes a node matter.
 
 Equal html counts as one page, on its host and over all hosts, however many rows repeat it.
 
-A page loses the branches of low importance. A node on few pages of its host says little, so it takes
-the importance it has over all hosts, and a node on a single page stays. Branches whose role is plain from the markup (menus, page
-headers and footers, forms, adverts, reader comments ...) go in any case.
+A page loses the nodes of low importance, and so each branch that has no others. The fewer pages of its host a node is on,
+the more it takes the importance that it has over all hosts; one on few pages of all hosts together stays. Branches whose
+role is plain from the markup (menus, page headers and footers, forms, adverts, reader comments ...) go in any case, unless
+``roles`` is off; they count in the tree like all others.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import partial
 from html import unescape
 
 import pyarrow as pa
@@ -31,11 +34,17 @@ from llm.store import BROADCAST_ROWS, drop, sized_join, written
 
 @dataclass(frozen=True)
 class StyleTree:
-    """Settings: nodes below ``threshold`` go; those on fewer than ``few_pages`` of their host borrow from all."""
+    """Settings: nodes below ``threshold`` go.
 
-    threshold: float = 0.35
+    All hosts count as ``borrowed`` pages beside a node's own; fewer than ``few_pages`` over all hosts tell nothing.
+    Blocks of up to ``short`` words are compared by word. ``roles`` also leaves out what the markup names.
+    """
+
+    threshold: float = 0.8
     few_pages: int = 8
-    damping: float = 0.9
+    borrowed: int = 128
+    short: int = 12
+    roles: bool = True
 
 
 #: Fixed values of HTML: elements without content, elements that part blocks, and elements never shown as article text.
@@ -45,6 +54,7 @@ BLOCK = frozenset(
     " form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select"
     " summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = BLOCK - frozenset("html body".split())
 CLOSED_BY = {
     "li": frozenset(["li"]),
@@ -82,6 +92,7 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+CLAUSE = re.compile(r"[.,;:!?|\u00b7\u2022\u3002\uff0c]+(?:\s|$)")
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/:?#]+)"
 SEED = xxhash.xxh64_intdigest
 
@@ -125,7 +136,8 @@ class Page:
                     raw = unescape(raw)
                 raw = " ".join(raw.split())
                 if raw:
-                    self.blocks.append((raw, nodes, boiler))
+                    heading = stack and stack[-1][0] in HEADINGS
+                    self.blocks.append((raw, nodes[:-1] if heading else nodes, boiler))
 
         def pop(depth: int):
             nonlocal nodes, boiler, article
@@ -189,22 +201,23 @@ PRESENT, TEXT, CHILDREN = 0, 1, 2
 FACTS = "host string, node long, kind int, value long, own double, whole double"
 
 
-def _facts(batches):
-    """(host, node, kind, value) and the row's shares of a page, once a row; blocks ruled out by role say nothing."""
+def features(text: str, short: int) -> list[str]:
+    """What a block is compared by: its words if they are few, else its clauses."""
+    words = text.split(" ")
+    return words if len(words) <= short else [piece for piece in CLAUSE.split(text) if piece]
+
+
+def _facts(batches, short: int):
+    """(host, node, kind, value) and the row's shares of a page, once a row."""
     for batch in batches:
         hosts, nodes, kinds, values, owns, wholes = [], [], [], [], [], []
         for host, html, own, whole in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "own", "whole"))):
             page, seen = Page(html or ""), set()
-            for text, path, boiler in page.blocks:
-                if boiler:
-                    continue
-                value = SEED(text)
-                for node in path or (0,):
-                    seen.add((node, TEXT, value))
-                    seen.add((node, PRESENT, 0))
-            for node, value in page.children.items():
-                if (node, PRESENT, 0) in seen:
-                    seen.add((node, CHILDREN, value))
+            for text, path, _ in page.blocks:
+                node, around = path[-1] if path else 0, path[-2] if len(path) > 1 else 0
+                seen.update((node, TEXT, SEED(feature)) for feature in features(text, short))
+                seen.add((node, PRESENT, 0))
+                seen.add((node, CHILDREN, page.children.get(around, 0)))
             hosts += [host] * len(seen)
             nodes += [_signed(x[0]) for x in seen]
             kinds += [x[1] for x in seen]
@@ -232,26 +245,24 @@ def _importance(counts: DataFrame, keys: list[str], settings: StyleTree) -> Data
         F.max(F.when(kind["there"], F.col("n"))).alias("pages"),
         F.sum(F.when(kind["text"], F.lit(1))).alias("texts"),
         F.sum(F.when(kind["text"], log)).alias("text_logs"),
-        F.sum(F.when(kind["child"], F.lit(1))).alias("styles"),
         F.sum(F.when(kind["child"], F.col("n") * log)).alias("child_logs"),
     )
     log_m = F.log(F.col("pages").cast("double"))
     content = 1 - F.coalesce(F.col("text_logs") / (F.col("texts") * log_m), F.lit(0.0))
     presentation = 1 - F.coalesce(F.col("child_logs") / (F.col("pages") * log_m), F.lit(0.0))
-    share = F.pow(F.lit(settings.damping), F.coalesce("styles", F.lit(0)))
     return sums.select(
         *keys,
         "pages",
-        F.when(F.col("pages") < 2, F.lit(1.0)).otherwise((1 - share) * presentation + share * content).alias("importance"),
+        F.when(F.col("pages") < 2, F.lit(1.0)).otherwise(1 - (1 - presentation) * (1 - content)).alias("importance"),
     )
 
 
 def _nodes_of(batches):
-    """(page, host, node) for the nodes above the page's blocks."""
+    """(page, host, node) for the nodes of the page's blocks."""
     for batch in batches:
         pages, hosts, nodes = [], [], []
         for page, host, html in zip(*(batch.column(c).to_pylist() for c in ("page", "host", "html"))):
-            for node in {x for _, path, boiler in Page(html or "").blocks if not boiler for x in path or (0,)}:
+            for node in {path[-1] if path else 0 for _, path, _ in Page(html or "").blocks}:
                 pages.append(page)
                 hosts.append(host)
                 nodes.append(_signed(node))
@@ -261,8 +272,8 @@ def _nodes_of(batches):
         )
 
 
-def _text_without(batches):
-    """Adds the text of the blocks that are not ruled out and lie under none of the nodes in ``gone``."""
+def _text_without(batches, roles: bool):
+    """Adds the text of the blocks that are not ruled out and whose node is not in ``gone``."""
     for batch in batches:
         texts = []
         for html, gone in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist()):
@@ -271,7 +282,7 @@ def _text_without(batches):
                 "\n".join(
                     text
                     for text, path, boiler in Page(html or "").blocks
-                    if not boiler and gone.isdisjoint(path or (0,))
+                    if not (boiler and roles) and (path[-1] if path else 0) not in gone
                 )
             )
         kept = [c for c in batch.schema.names if c not in ("html", "gone")]
@@ -306,7 +317,7 @@ def _weighted(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def low_nodes(pages: DataFrame, settings: StyleTree = StyleTree()) -> DataFrame:
     """(host, node) of the low-importance nodes of each host's tree, from (host, html)."""
     weighted, copies = _weighted(pages)
-    counts = weighted.mapInArrow(_facts, FACTS).groupBy("host", "node", "kind", "value").agg(
+    counts = weighted.mapInArrow(partial(_facts, short=settings.short), FACTS).groupBy("host", "node", "kind", "value").agg(
         F.round(F.sum("own")).cast("long").alias("n"), F.sum("whole").alias("whole")
     )
     counts = written(counts, "facts")
@@ -314,9 +325,11 @@ def low_nodes(pages: DataFrame, settings: StyleTree = StyleTree()) -> DataFrame:
     total = counts.groupBy("node", "kind", "value").agg(F.round(F.sum("whole")).cast("long").alias("n"))
     everywhere = _importance(total, ["node"], settings)
     own = _importance(counts, ["host", "node"], settings)
-    both = own.join(everywhere.select("node", F.col("importance").alias("elsewhere")), "node")
-    chosen = F.when(F.col("pages") >= settings.few_pages, F.col("importance")).otherwise(F.col("elsewhere"))
-    low = written(both.where(chosen < settings.threshold).select("host", "node"), "low")
+    told = everywhere.where(F.col("pages") >= settings.few_pages)
+    both = own.join(told.select("node", F.col("importance").alias("elsewhere")), "node")
+    borrowed = F.lit(float(settings.borrowed))
+    blended = (F.col("pages") * F.col("importance") + borrowed * F.col("elsewhere")) / (F.col("pages") + borrowed)
+    low = written(both.where(blended < settings.threshold).select("host", "node"), "low")
     drop(pages.sparkSession, counts)
     return low
 
@@ -342,7 +355,7 @@ def extract_text(pages: DataFrame, settings: StyleTree = StyleTree()) -> DataFra
     few = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
     joined = rows.join(F.broadcast(gone) if few <= BROADCAST_ROWS else gone, "page", "left")
     schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string"
-    return joined.select("page_id", "url", "html", "gone").mapInArrow(_text_without, schema)
+    return joined.select("page_id", "url", "html", "gone").mapInArrow(partial(_text_without, roles=settings.roles), schema)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

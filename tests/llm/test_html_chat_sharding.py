@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import math
+import random
+from collections import Counter, defaultdict
 
 from llm.chat import preference_format, stale_reply_pairs
-from llm.html_text import Page, extract_text
+from llm.html_text import Page, StyleTree, extract_text, features, low_nodes
 from llm.sharding import Sharding, assigned, fill
 
 
@@ -45,6 +47,83 @@ def test_copies_of_a_page_are_one_page(spark, monkeypatch):
         assert got[43] == "Unique & own text 3 more here\nSecond of 3!"
 
 
+def varied_pages(hosts=3, each=24):
+    """Menus, adverts and footers that differ in some words from page to page, around unlike articles."""
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choice("abcdefghij") for _ in range(n))
+    links, slogans = [word(5) for _ in range(9)], [" ".join(word(4) for _ in range(6)) for _ in range(4)]
+    rows, wanted = [], {}
+    for n in range(hosts * each):
+        title = f"{word(7)} {word(6)}"
+        told = [" ".join(word(6) for _ in range(draw.randint(5, 40))) + "." for _ in range(draw.randint(1, 5))]
+        menu = "".join(f"<li><a href=/{x}>{x}</a>" for x in draw.sample(links, draw.randint(4, 6)))
+        host = f"h{n % hosts}.example"
+        html = (
+            f"<div class=up><h2>Go to</h2><ul>{menu}</ul></div><div class=spot>{draw.choice(slogans)}</div><div class=text>"
+            f"<h1>{title}</h1>{''.join(f'<p>{x}</p>' for x in told)}<h2>Sources</h2><p>{word(8)}</div><div class=down>&copy; {host} {2000 + n}, {draw.choice(slogans)}</div>"
+        )
+        rows.append((n, f"http://{host}/{n}", html))
+        wanted[n] = [title, *told]
+    return rows, wanted
+
+
+def test_the_tree_alone_removes_what_differs_in_some_words(spark):
+    rows, wanted = varied_pages()
+    for roles in (True, False):
+        got = {r["page_id"]: r["text"] for r in extract_text(pages_of(spark, rows), StyleTree(roles=roles)).collect()}
+        for n, told in wanted.items():
+            lines = got[n].split("\n")
+            assert lines[: len(told)] == told and lines[len(told)] == "Sources" and len(lines) == len(told) + 2
+
+
+def plain_low(rows, settings):
+    """Nodes of low importance, by the definition."""
+    sites = defaultdict(lambda: defaultdict(list))  # host (None: all) -> node -> (features, child sequence) a page
+    for host, html in {(host, html) for host, html in rows}:
+        page, found = Page(html), defaultdict(lambda: [set(), None])
+        for text, path, _ in page.blocks:
+            node = path[-1] if path else 0
+            found[node][0].update(features(text, settings.short))
+            found[node][1] = page.children.get(path[-2] if len(path) > 1 else 0, 0)
+        for node, fact in found.items():
+            sites[host][node].append(fact)
+    for html in {html for _, html in rows}:
+        host = next(h for h, x in rows if x == html)
+        page = Page(html)
+        for node in {path[-1] if path else 0 for _, path, _ in page.blocks}:
+            fact = next(f for f in sites[host][node] if f[0] >= {
+                x for t, p, _ in page.blocks if (p[-1] if p else 0) == node for x in features(t, settings.short)})
+            sites[None][node].append(fact)
+
+    def importance(facts):
+        pages = len(facts)
+        if pages < 2:
+            return 1.0
+        spread = Counter(x for found, _ in facts for x in found)
+        styles = Counter(style for _, style in facts)
+        content = 1 - sum(math.log(n) for n in spread.values()) / len(spread) / math.log(pages)
+        presentation = -sum(n / pages * math.log(n / pages) for n in styles.values()) / math.log(pages)
+        return 1 - (1 - presentation) * (1 - content)
+
+    low = set()
+    for host, nodes in sites.items():
+        for node, facts in nodes.items() if host is not None else ():
+            if len(sites[None][node]) >= settings.few_pages:
+                own, elsewhere, n = importance(facts), importance(sites[None][node]), len(facts)
+                if (n * own + settings.borrowed * elsewhere) / (n + settings.borrowed) < settings.threshold:
+                    low.add((host, node))
+    return low
+
+
+def test_importance_follows_its_definition(spark):
+    rows = [(f"h{n % 3}.example", html) for n, _, html in varied_pages(each=14)[0]]
+    rows += [("h0.example", page(n)) for n in range(9)] * 2
+    df = spark.createDataFrame(rows, "host string, html string").repartition(3)
+    for settings in (StyleTree(), StyleTree(threshold=0.55, borrowed=4, short=3), StyleTree(threshold=0.9, borrowed=0)):
+        got = {(r["host"], r["node"] % (1 << 64)) for r in low_nodes(df, settings).collect()}
+        assert got == plain_low(rows, settings) and got
+
+
 def test_blocks_of_odd_markup():
     html = "<ul><li>a<li>b</ul><table><tr><td>c<td>d</table><P CLASS='x>y'>e&nbsp;f</P></div>g<!-- open"
     assert [b[0] for b in Page(html).blocks] == ["a", "b", "c", "d", "e f", "g"]
