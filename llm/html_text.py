@@ -334,6 +334,20 @@ def low_nodes(pages: DataFrame, settings: StyleTree = StyleTree()) -> DataFrame:
     return low
 
 
+#: Rows get the low nodes of their whole host while no host has more of them; beyond that, those of their own page.
+HOST_NODES = 1000
+
+
+def _with_own_nodes(rows: DataFrame, low: DataFrame) -> DataFrame:
+    """Adds to each row the low nodes that its page has."""
+    nodes = rows.select("page", "host", "html").mapInArrow(_nodes_of, "page long, host string, node long")
+    gone = written(
+        sized_join(nodes, low, ["host", "node"], "left_semi").groupBy("page").agg(F.collect_set("node").alias("gone")), "gone"
+    )
+    few = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
+    return rows.join(F.broadcast(gone) if few <= BROADCAST_ROWS else gone, "page", "left")
+
+
 def extract_text(pages: DataFrame, settings: StyleTree = StyleTree()) -> DataFrame:
     """(page_id, url, text) of every row.
 
@@ -348,12 +362,12 @@ def extract_text(pages: DataFrame, settings: StyleTree = StyleTree()) -> DataFra
         F.xxhash64(F.col("url").cast("string"), F.col("html").cast("string")).alias("page"),
     )
     low = low_nodes(rows.select("host", "html"), settings)
-    nodes = rows.select("page", "host", "html").mapInArrow(_nodes_of, "page long, host string, node long")
-    gone = written(
-        sized_join(nodes, low, ["host", "node"], "left_semi").groupBy("page").agg(F.collect_set("node").alias("gone")), "gone"
-    )
-    few = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
-    joined = rows.join(F.broadcast(gone) if few <= BROADCAST_ROWS else gone, "page", "left")
+    per_host = low.groupBy("host").agg(F.count("*").alias("n"))
+    total, most = per_host.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if total <= BROADCAST_ROWS and most <= HOST_NODES:
+        joined = rows.join(F.broadcast(low.groupBy("host").agg(F.collect_list("node").alias("gone"))), "host", "left")
+    else:
+        joined = _with_own_nodes(rows, low)
     schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string"
     return joined.select("page_id", "url", "html", "gone").mapInArrow(partial(_text_without, roles=settings.roles), schema)
 

@@ -67,9 +67,10 @@ def varied_pages(hosts=3, each=24):
     return rows, wanted
 
 
-def test_the_tree_alone_removes_what_differs_in_some_words(spark):
+def test_the_tree_alone_removes_what_differs_in_some_words(spark, monkeypatch):
     rows, wanted = varied_pages()
-    for roles in (True, False):
+    for roles, limit in ((True, 1000), (False, 1000), (False, 0)):
+        monkeypatch.setattr("llm.html_text.HOST_NODES", limit)
         got = {r["page_id"]: r["text"] for r in extract_text(pages_of(spark, rows), StyleTree(roles=roles)).collect()}
         for n, told in wanted.items():
             lines = got[n].split("\n")
