@@ -11,7 +11,8 @@ from meterline.schema import TS
 # The zone that triggers the repair, the zone after it, and the shift between them.
 SERVER_ZONE = "UTC+00:00"
 LOCAL_ZONE = "UTC+03:00"
-SHIFT = "INTERVAL '3' HOUR"
+SHIFT_HOURS = 3
+SHIFT = f"INTERVAL '{SHIFT_HOURS}' HOUR"
 
 
 def normalise_timestamp(df: DataFrame) -> DataFrame:

@@ -14,6 +14,9 @@ from verification.queries import QUERIES, WIDE
 SF_DIR = "/root/testdata/sf0.001"
 CHOSEN = [
     "csv_roundtrip",
+    "csv_mixed_headers",
+    "ordered_files",
+    "period_files_shifted",
     "period_slice",
     "remove_spikes",
     "remove_spikes_split_meters",

@@ -35,7 +35,10 @@ from meterline.plans.pipelines import (
     definition_sessions,
     extended_sessions,
 )
+from meterline.sources.daily import read_period, write_by_day
 from meterline.sources.files import read_csv, write_csv
+from meterline.sources.folders import read_csv_folder
+from meterline.sources.ordered import PLACE, read_ordered, write_ordered
 from verification import oracle as o
 from verification.readings import readings, replayed, with_long_spikes
 
@@ -88,6 +91,65 @@ def csv_roundtrip(spark, sf):
     return show(read_csv(spark, path), o.RAW_COLUMNS)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "csv_mixed_headers",
+    o.base().select(
+        "meter_number, id, timestamp, " + o.fixed("energy") + " AS energy, "
+        "CASE WHEN id % 3 = 2 THEN NULL ELSE " + o.fixed("power") + " END AS power, "
+        "CASE WHEN id % 3 = 1 THEN 'late' END AS remark"
+    ),
+)
+def csv_mixed_headers(spark, sf):
+    """Three shipments into one folder: columns swapped, a column more, a column less."""
+    path, df = new_path(spark, "mixed"), readings(spark, sf)
+    shipments = (
+        df.select("meter_number", "id", "timestamp", "energy", "power"),
+        df.select("power", "energy", F.lit("late").alias("remark"), "timestamp", "id", "meter_number"),
+        df.select("id", "meter_number", "energy", "timestamp"),
+    )
+    for n, shipment in enumerate(shipments):
+        write_csv(shipment.filter(F.col("id") % 3 == n), f"{path}/{n}")
+    rows = read_csv_folder(spark, f"{path}/*").rows
+    return show(rows, ["meter_number", "id", "timestamp", "energy", "power", "remark"])
+
+
+@query(
+    "ordered_files",
+    o.base().select(
+        o.shown(o.RAW_COLUMNS) + ", row_number() OVER (ORDER BY voltage NULLS FIRST, timestamp, id) - 1 AS place"
+    ),
+)
+def ordered_files(spark, sf):
+    """Positions of the rows in a folder of ordered files, as they are read one after the other."""
+    path, df = new_path(spark, "ordered"), readings(spark, sf)
+    write_ordered(df, path, ["voltage", "timestamp", "id"])
+    return show(read_ordered(spark, path), [*o.RAW_COLUMNS, PLACE])
+
+
+def _daily_query(name: str, zone: str, profile: Profile) -> None:
+    columns = ["meter_number", "id", "timestamp", "timezone", "energy"]
+    sql = (
+        o.base(profile, compress=1)
+        .change(
+            timestamp="CASE WHEN id % 13 = 0 THEN NULL ELSE timestamp END",
+            timezone=f"CASE WHEN id % 101 = 0 THEN '{zone}' ELSE timezone END",
+        )
+        .zone()
+        .period("2024-01-05", "2024-01-20")
+        .select(o.shown(columns))
+    )
+
+    @query(name, sql)
+    def run(spark, sf):
+        path, df = new_path(spark, "daily"), _zones(readings(spark, sf, compress=1), zone)
+        write_by_day(df.withColumn("timestamp", F.when(F.col("id") % 13 != 0, F.col("timestamp"))), path)
+        return show(read_period(spark, path, "2024-01-05", "2024-01-20", profile), columns)
+
+
 def _zones(df: DataFrame, zone: str) -> DataFrame:
     return df.withColumn(
         "timezone", F.when(F.col("id") % 101 == 0, F.lit(zone)).otherwise(F.col("timezone"))
@@ -108,6 +170,9 @@ def _zone_query(name: str, zone: str, profile: Profile) -> None:
         return show(shift_zone(_zones(readings(spark, sf), zone), profile), columns)
 
 
+_daily_query("period_files", "UTC+00:00", EFFECTIVE)
+_daily_query("period_files_shifted", "UTC00:00", EFFECTIVE)
+_daily_query("period_files_documented", "UTC+00:00", DOCUMENTED)
 _zone_query("tz_normalise_regex", "UTC+00:00", EFFECTIVE)
 _zone_query("tz_normalise_regex_match", "UTC00:00", EFFECTIVE)
 _zone_query("tz_normalise_literal", "UTC+00:00", DOCUMENTED)
