@@ -13,10 +13,14 @@ position and belongs to a strip of ``strip_rows`` consecutive positions:
 
 Missing equals nothing, so a reading without a meter number has no neighbours: ordinary parts are grouped by meter
 and ``_lone``, which makes each such row a group of its own and spreads them over all tasks.
+
+The row order is total although ids may be missing or repeated: a digest of the whole row orders rows with
+equal time and id, and ``_place`` fixes the order of rows that are equal throughout.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -26,22 +30,39 @@ from pyspark.sql import functions as F
 from meterline.operators.pinning import pin
 from meterline.operators.scan import exclusive_scan
 from meterline.params import Scale
-from meterline.schema import METER, TS
+from meterline.schema import EVENT, METER, TS
 
 POS = "_pos"
 STRIP = "_strip"
 LONE = "_lone"  # tells rows without a meter number apart, 0 for all others
+PLACE = "_place"  # rises with the row order of the meter; tells rows with equal time and id apart
+CONTENT = "_content"  # digest of the whole row, until the place is known
 STRIP_BITS = 12  # strips of a stacked frame are scanned in blocks of so many bits
 HALF = 33  # monotonically_increasing_id keeps the partition in the bits above this one
 
 
 def row_order(df: DataFrame) -> list[str]:
-    """Columns that order one meter's rows: time, then originals before added rows, then id."""
+    """Columns that order one meter's rows: time, then originals before added rows, then id and place."""
     order = [TS]
     for added, source in (("start_added", "start_source"), ("end_added", "end_source")):
         if added in df.columns:
             order += [added, source]
-    return order + ["id"]
+    return [*order, "id", *[c for c in (CONTENT, PLACE) if c in df.columns]]
+
+
+def with_content(df: DataFrame) -> DataFrame:
+    """Add a digest of the whole row; columns that cannot be hashed (maps, variants) are left out.
+
+    Equal readings may belong to successive events by now, so the event's start and number come first.
+    """
+    fields = sorted((f for f in df.schema if not re.search("map<|variant", f.dataType.simpleString())), key=lambda f: f.name)
+    # A hash skips nulls, so where they are is hashed as well.
+    missing = [F.col(f.name).isNull() for f in fields if f.nullable]
+    digest = F.xxhash64(*[f.name for f in fields], *missing)
+    if not {"time_start", EVENT} <= set(df.columns):
+        return df.withColumn(CONTENT, digest)
+    # Rows behind an event's end have no start; another event that starts at their time follows them.
+    return df.withColumn(CONTENT, F.struct(F.coalesce("time_start", TS).alias("start"), EVENT, digest.alias("digest")))
 
 
 def with_positions(df: DataFrame, order: list[str], name: str = POS) -> DataFrame:
@@ -229,6 +250,8 @@ class Frame:
     def split(df: DataFrame, scale: Scale) -> Frame:
         """Separate meters too long for one task. Costs one pre-aggregated count per meter."""
         counts = df.filter(F.col(METER).isNotNull()).groupBy(METER).agg(F.count("*").alias("_rows"))
+        if not scale.unique_ids:
+            df = with_content(df)
         layout = Layout(tuple(row_order(df)), lone=df.schema[METER].nullable)
         if layout.lone:
             told_by = [c for c in (*layout.order, "energy") if c in df.columns]
@@ -236,7 +259,7 @@ class Frame:
             df = df.withColumn(LONE, F.coalesce(lone, F.lit(0).cast("bigint")))
         candidates = counts.filter(F.col("_rows") > scale.hot_meter_rows)
         if candidates.isEmpty():
-            return Frame((Part(df, layout),), scale)
+            return Frame((Frame._placed(df, layout),), scale)
         total = counts.agg(F.sum("_rows")).scalar()
         # At most max_hot_meters meters can pass this filter, whatever the data.
         hot = pin(
@@ -246,16 +269,26 @@ class Frame:
         long = df.join(F.broadcast(hot), METER, "left_semi").drop(LONE)
         return Frame(
             (
-                Part(cold, layout),
+                Frame._placed(cold, layout),
                 Part(long, replace(layout, strip_rows=scale.strip_rows, lone=False)),
             ),
             scale,
             hot,
         ).arrange()
 
+    @staticmethod
+    def _placed(df: DataFrame, layout: Layout) -> Part:
+        """Replace the digest by the row's place in its meter, over the partitioning that later steps use."""
+        if CONTENT not in df.columns:
+            return Part(df, layout)
+        df = df.withColumn(PLACE, F.row_number().over(layout.window)).drop(CONTENT)
+        return Part(df, replace(layout, order=tuple(row_order(df))))
+
     @staticmethod
     def stacked(df: DataFrame, scale: Scale) -> Frame:
         """One sequence of all meters' rows, in strips: neighbours may belong to other meters."""
+        if not scale.unique_ids:
+            df = with_content(df)
         layout = Layout(tuple(row_order(df)), scale.strip_rows, stacked=True)
         return Frame((Part(df, layout),), scale).arrange()
 
@@ -270,6 +303,8 @@ class Frame:
             df = with_positions(part.df.drop(POS, STRIP), [METER, *order])
             length = self.scale.strip_rows
             df = df.withColumn(STRIP, F.floor(F.col(POS) / F.lit(length)))
+            if CONTENT in df.columns:
+                df = df.withColumn(PLACE, F.col(POS)).drop(CONTENT)
             placed.append(Part(df, replace(part.layout, order=(POS,))))
         return replace(self, parts=tuple(placed))
 
@@ -315,7 +350,8 @@ class Frame:
 
     def union(self) -> DataFrame:
         """All parts as one DataFrame without the layout columns."""
-        whole = self.parts[0].df.drop(POS, STRIP, LONE)
+        layout = (POS, STRIP, LONE, PLACE)
+        whole = self.parts[0].df.drop(*layout)
         for part in self.parts[1:]:
-            whole = whole.unionByName(part.df.drop(POS, STRIP, LONE))
+            whole = whole.unionByName(part.df.drop(*layout))
         return whole

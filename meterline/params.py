@@ -91,9 +91,11 @@ class Scale:
     each processed by its own task. ``max_hot_meters`` bounds the list of such meters (it is
     broadcast): the row limit rises to total/max_hot_meters when that is larger.
     ``scan_rows`` bounds the summary rows a single-task prefix scan may see.
+    ``unique_ids`` vouches that no two readings of a meter share time and id, which saves a sort.
     """
 
     hot_meter_rows: int = 5_000_000
     strip_rows: int = 1_000_000
     max_hot_meters: int = 50_000
     scan_rows: int = 1_000_000
+    unique_ids: bool = False

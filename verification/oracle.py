@@ -123,6 +123,14 @@ class Query:
             f"SELECT * FROM {base} UNION ALL SELECT * REPLACE ({late}) FROM {base} WHERE {again}", ""
         )
 
+    def sent_twice(self) -> Query:
+        """Every tenth reading arrives twice, equal in all columns."""
+        base = self.last
+        self.order.append("twin")
+        return self.step(
+            f"SELECT *, 0 AS twin FROM {base} UNION ALL SELECT *, 1 AS twin FROM {base} WHERE id % 10 = 0", ""
+        )
+
     def lose_meters(self) -> Query:
         """Every fiftieth reading without its meter number; such readings come last."""
         return self.change(meter_number="CASE WHEN id % 50 = 0 THEN NULL ELSE meter_number END")

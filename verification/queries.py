@@ -510,6 +510,35 @@ _meterless_queries("", EFFECTIVE)
 _meterless_queries("_documented", DOCUMENTED)
 _meterless_queries("_split_meters", EFFECTIVE, SPLIT)
 
+# -- readings that share meter, time and id ---------------------------------------------------------
+
+
+def _sent_twice_queries(suffix: str, profile: Profile, scale: Scale = Scale()) -> None:
+    def source() -> o.Query:
+        return o.base(profile).sent_twice().despike().zone().sessions()
+
+    def twice(spark, sf) -> DataFrame:
+        df = readings(spark, sf, scale)
+        return df.unionByName(df.filter(F.col("id") % 10 == 0))
+
+    @query(f"sessions_repeated_rows{suffix}", source().select(o.shown(o.SESSION_COLUMNS)))
+    def found(spark, sf):
+        df = m.remove_spikes(twice(spark, sf), profile=profile, scale=scale)
+        return show(m.cooking_event(df, profile=profile, scale=scale), o.SESSION_COLUMNS)
+
+    sql = source().flag_duplicates().drop_duplicates().event_table().select(o.shown(o.EVENT_COLUMNS))
+
+    @query(f"events_repeated_rows{suffix}", sql)
+    def summed(spark, sf):
+        df = m.cooking_event(m.remove_spikes(twice(spark, sf), profile=profile, scale=scale), profile=profile, scale=scale)
+        df = m.timestamp_issue(df, profile=profile, scale=scale)
+        return show(m.only_events(df, profile=profile, scale=scale), o.EVENT_COLUMNS)
+
+
+_sent_twice_queries("", EFFECTIVE)
+_sent_twice_queries("_documented", DOCUMENTED)
+_sent_twice_queries("_split_meters", EFFECTIVE, SPLIT)
+
 # -- event table and pipelines -------------------------------------------------------------------
 
 
