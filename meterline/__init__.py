@@ -12,7 +12,8 @@ from meterline.operators.pinning import release
 from meterline.operators.sessions import cooking_event, event_conditions
 from meterline.operators.slices import period
 from meterline.operators.summary import only_events
-from meterline.params import DOCUMENTED, EFFECTIVE, Params, Profile, Scale
+from meterline.params import DOCUMENTED, EFFECTIVE, NOTEBOOK, Params, Profile, Scale
+from meterline.plans.chain import Chain, chain
 from meterline.plans.pipelines import (
     definition_pipeline,
     event_pipeline,
@@ -21,13 +22,16 @@ from meterline.plans.pipelines import (
 )
 
 __all__ = [
+    "Chain",
     "DOCUMENTED",
     "EFFECTIVE",
+    "NOTEBOOK",
     "Params",
     "Profile",
     "Scale",
     "addtoevent_beginning",
     "addtoevent_ending",
+    "chain",
     "cooking_event",
     "definition_pipeline",
     "event_conditions",

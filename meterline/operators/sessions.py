@@ -220,20 +220,25 @@ def event_offsets(starts: DataFrame, scale: Scale) -> tuple[DataFrame, int]:
     return exclusive_scan(starts, ["starts"], [], size, scale.scan_rows), size
 
 
-def number_events(frame: Frame) -> Frame:
-    """Turn numbers within a meter into numbers within the frame, in meter order.
-
-    Rows without a meter number have no event that lasts, and lose their numbers.
-    """
-    frame = frame.pin()
+def meter_starts(frame: Frame) -> DataFrame:
+    """How many events each meter starts; rows without a meter number have no event that lasts."""
     counts = [
         p.df.filter(F.col(METER).isNotNull()).groupBy(METER).agg(F.sum(F.col(START).cast("bigint")).alias("starts"))
         for p in frame.parts
     ]
-    offsets, size = event_offsets(reduce(DataFrame.unionByName, counts), frame.scale)
+    return reduce(DataFrame.unionByName, counts)
+
+
+def number_events(frame: Frame, starts: DataFrame) -> Frame:
+    """Turn numbers within a meter into numbers within the frame, in meter order.
+
+    ``starts`` has the events of each meter; rows without a meter number lose their numbers.
+    """
+    offsets, size = event_offsets(starts, frame.scale)
+    numbers = [n for n in (RAW_EVENT, EVENT) if n in frame.parts[0].df.columns]
     return frame.join_meters(offsets, size).map(
         lambda df, _: df
-        .withColumns({n: F.col(n) + F.col("before_starts") for n in (RAW_EVENT, EVENT)})
+        .withColumns({n: F.col(n) + F.col("before_starts") for n in numbers})
         .drop("before_starts")
     )
 
@@ -275,7 +280,8 @@ def session_frame(
     frame = frame.map(lambda df, _: add_durations(df, params))
     stacked = all(p.layout.stacked for p in frame.parts)  # numbers already run over the frame
     if numbered and not stacked:
-        frame = number_events(frame)
+        frame = frame.pin()
+        frame = number_events(frame, meter_starts(frame))
     if keep:
         return frame.map(lambda df, _: df.drop(*[h for h in HELPERS if h != RAW_EVENT]))
     return frame.map(lambda df, _: df.drop(*HELPERS)).arrange()

@@ -81,6 +81,8 @@ DOCUMENTED = Profile(
     keep_null_timestamps=False,
     spikes_to_fixpoint=True,
 )
+# Extensions as the notebook variant makes them.
+NOTEBOOK = Profile(notebook_mask_order=True, shift_small_start_gaps=False)
 
 
 @dataclass(frozen=True)

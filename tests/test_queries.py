@@ -25,6 +25,10 @@ CHOSEN = [
     "duplicate_replays_label_bitmap",
     "full_pipeline_replays_capacity",
     "sessions",
+    "sessions_repeated_rows",
+    "events_repeated_rows_documented",
+    "chained_duplicates",
+    "chained_pipeline_documented",
     "duplicate_events_label",
     "residual_minutes",
     "full_pipeline",

@@ -28,7 +28,7 @@ from meterline.operators.slices import (
 from meterline.operators.summary import add_cost, event_energy
 from meterline.operators.timeline import Frame, row_order
 from meterline.operators.zone import shift_zone
-from meterline.params import DOCUMENTED, EFFECTIVE, Params, Profile, Scale
+from meterline.params import DOCUMENTED, EFFECTIVE, NOTEBOOK, Params, Profile, Scale
 from meterline.plans.pipelines import (
     DEFINITION_PARAMS,
     DEFINITION_PROFILE,
@@ -48,7 +48,6 @@ QUERIES: dict[str, tuple[Spark, str]] = {}
 DAY = Params(period_start="2024-01-01", period_end="2024-01-02")
 # Small enough that every meter of the test tables is cut into strips.
 SPLIT = Scale(hot_meter_rows=5, strip_rows=128)
-NOTEBOOK = replace(EFFECTIVE, notebook_mask_order=True, shift_small_start_gaps=False)
 FIRST_FLAG = replace(EFFECTIVE, end_at_last_row=False)
 
 
@@ -510,6 +509,33 @@ _meterless_queries("", EFFECTIVE)
 _meterless_queries("_documented", DOCUMENTED)
 _meterless_queries("_split_meters", EFFECTIVE, SPLIT)
 
+# -- chained operators --------------------------------------------------------------------------------
+
+
+def _chain_queries(suffix: str, profile: Profile, scale: Scale = Scale()) -> None:
+    def source() -> o.Query:
+        return _replayed(profile).sessions().flag_duplicates().drop_duplicates()
+
+    def started(spark, sf) -> m.Chain:
+        df = replayed(readings(spark, sf, scale))
+        return m.chain(df, profile=profile, scale=scale).remove_spikes().cooking_event().timestamp_issue()
+
+    @query(f"chained_duplicates{suffix}", source().select(o.shown(o.SESSION_COLUMNS)))
+    def rows(spark, sf):
+        return show(started(spark, sf).readings(), o.SESSION_COLUMNS)
+
+    sql = source().extend_ending().extend_beginning().sessions(second=True).event_table().select(o.shown(o.EVENT_COLUMNS))
+
+    @query(f"chained_pipeline{suffix}", sql)
+    def events(spark, sf):
+        done = started(spark, sf).addtoevent_ending().addtoevent_beginning().cooking_event()
+        return show(done.only_events(), o.EVENT_COLUMNS)
+
+
+_chain_queries("", EFFECTIVE)
+_chain_queries("_documented", DOCUMENTED)
+_chain_queries("_split_meters", EFFECTIVE, SPLIT)
+
 # -- readings that share meter, time and id ---------------------------------------------------------
 
 
