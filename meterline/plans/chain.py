@@ -47,7 +47,8 @@ class Chain:
         return replace(self, frame=frame, starts=meter_starts(frame), fresh=True)
 
     def timestamp_issue(self) -> Chain:
-        return self._next(drop_frame(flag_frame(self._sessions(), self.params, self.profile), self.profile))
+        frame = drop_frame(flag_frame(self._sessions(), self.params, self.profile), self.profile)
+        return self._next(frame.dealt() if self.profile.drop_by_timestamp else frame)
 
     def addtoevent_ending(self) -> Chain:
         return self._next(extend_ending_frame(self._sessions(), self.params, self.profile))

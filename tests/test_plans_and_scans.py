@@ -83,3 +83,17 @@ def test_blocks_of_meters_scan_like_one_window(spark):
         total, last = total + n, last if v is None else v
     key = lambda r: r[0]
     assert [sorted(r, key=key) for r in results] == [expected, expected]
+
+
+def test_a_task_holds_so_many_rows_at_most(spark, tmp_path):
+    path, scale = str(tmp_path / "many"), Scale(task_rows=400)
+    spark.range(20_000).select(
+        (F.col("id") % 2000).alias("meter_number"), "id", F.timestamp_seconds("id").cast("timestamp_ntz").alias("timestamp"),
+        F.lit("UTC+03:00").alias("timezone"), (F.col("id") / 1000).alias("energy"), F.lit(0.0).alias("power"),
+    ).write.parquet(path)
+    rows = spark.read.parquet(path)
+    sizes = Frame.split(rows, scale).union().groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 40 and max(r["count"] for r in sizes) <= 800
+    # Meters that are longer than a strip, but too many to be listed as heavy, stay ordinary.
+    frame = Frame.split(rows, Scale(hot_meter_rows=5, strip_rows=128, max_hot_meters=1000))
+    assert len(frame.parts) == 1 and frame.hot is None
