@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 import meterline as m
-from meterline.operators import timeline
+from meterline.operators import sessions, timeline
 from meterline.operators.despike import despike_frame
 from meterline.operators.scan import exclusive_scan
 from meterline.operators.sessions import session_frame
@@ -97,3 +97,18 @@ def test_a_task_holds_so_many_rows_at_most(spark, tmp_path):
     # Meters that are longer than a strip, but too many to be listed as heavy, stay ordinary.
     frame = Frame.split(rows, Scale(hot_meter_rows=5, strip_rows=128, max_hot_meters=1000))
     assert len(frame.parts) == 1 and frame.hot is None
+
+
+def stored_columns(monkeypatch, module) -> list[list[str]]:
+    """Columns of every table that the module stores from now on."""
+    found, pin = [], module.pin
+    monkeypatch.setattr(module, "pin", lambda df: found.append(df.columns) or pin(df))
+    return found
+
+
+def test_running_values_of_strips_are_stored_with_the_rows(spark, tmp_path, monkeypatch):
+    frame = Frame.stacked(stored(spark, tmp_path), Scale(strip_rows=101))
+    found = stored_columns(monkeypatch, timeline)
+    session_frame(frame, Params(), DOCUMENTED, keep=True)
+    # Twice the rows and one row per strip; the bounds of events store nothing again.
+    assert "load_count" in found[0] and sessions.RAW_EVENT in found[2] and len(found) == 4
