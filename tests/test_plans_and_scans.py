@@ -106,6 +106,14 @@ def stored_columns(monkeypatch, module) -> list[list[str]]:
     return found
 
 
+def test_rows_are_stored_before_meters_are_summarised(spark, tmp_path, monkeypatch):
+    found = stored_columns(monkeypatch, sessions)
+    frame = sessions.flag_frame(Frame.split(stored(spark, tmp_path), Scale()), Params(), m.EFFECTIVE)
+    assert "load" in found[0] and "load_ts" in found[1] and len(found) == 2
+    # The salt is for readings without a meter number alone.
+    assert timeline.LONE not in frame.parts[0].df.columns
+
+
 def test_running_values_of_strips_are_stored_with_the_rows(spark, tmp_path, monkeypatch):
     frame = Frame.stacked(stored(spark, tmp_path), Scale(strip_rows=101))
     found = stored_columns(monkeypatch, timeline)
